@@ -66,12 +66,16 @@ def pii_by_name(column: Column) -> Column:
     return out
 
 
+def _shaped_like(pattern: str):
+    return lambda v: F.upper(v).rlike(pattern)
+
+
 def pii_by_shape(samples: Column) -> Column:
     """Kind nearly all samples are shaped like; null if none."""
     clean = F.filter(F.transform(samples, strip), lambda v: v != "")
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(list(PII_PATTERNS.items())):
-        hits = F.size(F.filter(clean, lambda v, p=pattern: F.upper(v).rlike(p)))
+        hits = F.size(F.filter(clean, _shaped_like(pattern)))
         out = F.when((F.size(clean) > 0) & (hits / F.size(clean) >= PII_SHARE), F.lit(kind)).otherwise(out)
     return out
 
