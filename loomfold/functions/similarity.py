@@ -99,7 +99,7 @@ def sorted_ratio(a: str, b: str) -> float:
     return _token_sort(a, b)
 
 
-_SCORERS = {"wratio": weighted_ratio, "token_sort": sorted_ratio}
+_SCORERS = {"wratio": weighted_ratio, "token_sort": sorted_ratio, "ratio": _ratio}
 
 
 def _arrow_scorer(name: str):
@@ -116,6 +116,10 @@ def wratio(a: Column, b: Column) -> Column:
     return _arrow_scorer("wratio")(a, b)
 
 
+def plain_ratio(a: Column, b: Column) -> Column:
+    return _arrow_scorer("ratio")(a, b)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return _arrow_scorer("token_sort")(a, b)
 
