@@ -182,9 +182,11 @@ def idempotency_key(run_id: str, code: Column) -> Column:
     return F.concat(F.lit(run_id + ":"), code)
 
 
-def subject_parts(subject: Column, n: int) -> Column:
-    """``kind:a:b...`` split into at most ``n`` parts (the last keeps its colons)."""
-    return F.split(subject, ":", n)
+def subject_parts(subject: Column, n: int):
+    """``kind:a:b...`` in at most ``n`` parts (the last keeps its colons): part number
+    -> Column, null where there is no such part."""
+    split = F.split(subject, ":", n)
+    return lambda i: F.get(split, F.lit(i))
 
 
 def filled(c: Column) -> Column:

@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomfold.functions.text import column_key, pair_subject
+from loomfold.functions.text import column_key, pair_subject, subject_parts
 from loomfold.spec import IGNORE_ANSWER
 
 SCHEMA = "subject string, action string, value string, fields map<string,string>"
@@ -54,8 +54,8 @@ def rule_answers(answers: DataFrame | None) -> dict[str, str]:
 def share_map_answers(answers: DataFrame, profiles: DataFrame) -> DataFrame:
     """(file, column, answer).  A column's own answer wins over one given for
     the same header in another file."""
-    parts = F.split(F.col("subject"), ":", 3)
-    given = of_kind(answers, "map").select(parts[1].alias("file"), parts[2].alias("column"),
+    parts = subject_parts(F.col("subject"), 3)
+    given = of_kind(answers, "map").select(parts(1).alias("file"), parts(2).alias("column"),
                                            F.col("value").alias("own"), F.col("subject"))
     shared = (given.groupBy(column_key(F.col("column")).alias("_key"))
               .agg(F.min_by("own", "subject").alias("shared")))
@@ -68,12 +68,12 @@ def share_map_answers(answers: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def memory_from_answers(answers: DataFrame) -> DataFrame:
     """The part of the answers that holds for any later export."""
-    parts = F.split(F.col("subject"), ":", 3)
+    parts = subject_parts(F.col("subject"), 3)
     kind = kind_of(F.col("subject"))
     mapped = answers.where((kind == "map") & F.col("value").isNotNull()).select(
-        "subject", column_key(parts[2]).alias("column_key"), F.col("value").alias("target"))
+        "subject", column_key(parts(2)).alias("column_key"), F.col("value").alias("target"))
     contests = answers.where((kind == "contest") & F.col("value").isNotNull()).select(
-        "subject", column_key(F.col("value")).alias("column_key"), parts[2].alias("target"))
+        "subject", column_key(F.col("value")).alias("column_key"), parts(2).alias("target"))
     return mapped.unionByName(contests).where((F.col("column_key") != "") & (F.col("target") != IGNORE_ANSWER))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomfold.functions.dates import iso_prefix, years_between
 from loomfold.functions.formats import FORMATS, FORMAT_HELP, check_format
-from loomfold.functions.text import col, filled, norm_key, redact_named, strip, text_of
+from loomfold.functions.text import col, filled, norm_key, redact_named, strip, text_of, subject_parts
 from loomfold.spec import DEFAULT_POLICY, Policy, SchemaSpec
 
 ISSUE = "struct<field:string,rule:string,message:string>"
@@ -163,9 +163,9 @@ def record_edits(records: DataFrame, answers: DataFrame, spec: SchemaSpec, code:
 
     Returns the records and the audit of changed values (personal ones masked).
     """
-    parts = F.split(F.col("subject"), ":", 2)
-    said = (answers.where(parts[0].isin("push", "record")).withColumn("key", parts[1])
-            .groupBy("key").agg(F.max_by(F.struct("action", "value", "fields"), parts[0] == "push").alias("_a")))
+    parts = subject_parts(F.col("subject"), 2)
+    said = (answers.where(parts(0).isin("push", "record")).withColumn("key", parts(1))
+            .groupBy("key").agg(F.max_by(F.struct("action", "value", "fields"), parts(0) == "push").alias("_a")))
     joined = records.join(said, "key", "left")
     edit = F.coalesce(F.col("_a.action") == "edit", F.lit(False))
     skip = F.coalesce((F.col("_a.action") == "value") & (F.col("_a.value") == "skip"), F.lit(False))
@@ -186,16 +186,16 @@ def record_edits(records: DataFrame, answers: DataFrame, spec: SchemaSpec, code:
 
 def reference_answers(records: DataFrame, answers: DataFrame, pointer: str) -> DataFrame:
     """Clear or reassign a pointer that leads nowhere; cut the answered cycle link."""
-    parts = F.split(F.col("subject"), ":", 2)
-    about = (answers.where(parts[0] == "manager").groupBy(parts[1].alias("_to"))
+    parts = subject_parts(F.col("subject"), 2)
+    about = (answers.where(parts(0) == "manager").groupBy(parts(1).alias("_to"))
              .agg(F.first(F.struct("action", "value", "fields")).alias("_a")))
     given = F.lower(strip(text_of(F.try_element_at(F.col("_a.fields"), F.lit(pointer)))))
     new = (F.when(F.col("_a.value") == "clear", F.lit(""))
            .when((F.col("_a.action") == "edit") & (given != ""), given)
            .when(F.col("_a.value").startswith("reassign:"), F.substr("_a.value", F.lit(10))).otherwise(col(pointer)))
     kept = records.withColumn("_to", norm_key(col(pointer))).join(about, "_to", "left").withColumn(pointer, new)
-    named = answers.where((parts[0] == "cycle-clear") & F.col("value").isNotNull() & ~F.col("value").isin("", "False", "false")).select(parts[1].alias("key"))
-    chosen = answers.where(F.col("value").startswith("cycle-clear:")).select(F.split("value", ":", 2)[1].alias("key"))
+    named = answers.where((parts(0) == "cycle-clear") & F.col("value").isNotNull() & ~F.col("value").isin("", "False", "false")).select(parts(1).alias("key"))
+    chosen = answers.where(F.col("value").startswith("cycle-clear:")).select(subject_parts(F.col("value"), 2)(1).alias("key"))
     cuts = named.unionByName(chosen).distinct().withColumn("_cut", F.lit(True))
     return (kept.join(cuts, "key", "left").withColumn(pointer, F.when(F.col("_cut"), F.lit("")).otherwise(col(pointer)))
             .select(*records.columns))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from loomfold.functions.text import subject_parts
 from loomfold.operators.answers import RECORD_KINDS, RULE_KINDS, kind_of
 from loomfold.spec import BLANK_ANSWER, SchemaSpec
 
@@ -31,9 +32,9 @@ def mapping_rules(mappings: DataFrame) -> DataFrame:
 
 
 def date_rules(audit: DataFrame) -> DataFrame:
-    parts = F.split(F.col("entity"), ":", 3)
+    parts = subject_parts(F.col("entity"), 3)
     dates = audit.where(F.col("action").isin("infer_date_convention", "set_date_convention") & F.col("entity").startswith("column:"))
-    return _rows(dates, "date_convention", file=parts[1], column=parts[2], to=F.col("after"), evidence=F.col("rationale"),
+    return _rows(dates, "date_convention", file=parts(1), column=parts(2), to=F.col("after"), evidence=F.col("rationale"),
                  how=F.when(F.col("action") == "set_date_convention", "confirmed").otherwise("inferred"))
 
 
@@ -48,9 +49,9 @@ def value_rules(edits: DataFrame, answers: DataFrame | None = None) -> DataFrame
              .agg(F.min_by("before", "entity").alias("before"), F.count(F.lit(1)).alias("n"))
              .withColumn("how", F.lit("automatic")))
     if answers is not None:
-        parts = F.split(F.col("subject"), ":", 3)
-        human = (answers.where((kind_of(F.col("subject")) == "enum") & (F.col("action") == "value") & (F.size(parts) == 3))
-                 .select(F.lower(parts[2]).alias("_low"), F.col("value").alias("after"), parts[2].alias("before"), F.lit(0).cast("long").alias("n"),
+        parts = subject_parts(F.col("subject"), 3)
+        human = (answers.where((kind_of(F.col("subject")) == "enum") & (F.col("action") == "value") & parts(2).isNotNull())
+                 .select(F.lower(parts(2)).alias("_low"), F.col("value").alias("after"), parts(2).alias("before"), F.lit(0).cast("long").alias("n"),
                          F.lit("confirmed").alias("how"), "subject"))
         agent = agent.join(human.select("_low", "after"), ["_low", "after"], "left_anti").withColumn("subject", F.lit(None).cast("string")).unionByName(human)
     else:
@@ -63,7 +64,7 @@ def identity_rules(answers: DataFrame) -> DataFrame:
     s = F.col("value")
     meaning = (F.when((s == "merge") | s.startswith("merge:"), "one person on two rows: combine").when(s == "separate", "two records: keep both").otherwise(s))
     pairs = answers.where(kind_of(F.col("subject")).isin("identity", "rehire"))
-    return _rows(pairs, "identity_rule", subject=F.col("subject"), **{"from": F.split("subject", ":", 2)[1]}, to=s, how=F.lit("confirmed"), evidence=meaning)
+    return _rows(pairs, "identity_rule", subject=F.col("subject"), **{"from": subject_parts(F.col("subject"), 2)(1)}, to=s, how=F.lit("confirmed"), evidence=meaning)
 
 
 def answer_rows(answers: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomfold.functions.text import col, strip, text_of
+from loomfold.functions.text import col, strip, text_of, subject_parts
 from loomfold.lineage import cut
 from loomfold.operators import clean as C, judge as J, references as R, resolve as E, validate as V
 from loomfold.operators.answers import answers_frame, kind_of, of_kind, rule_answers
@@ -182,7 +182,7 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
                                     F.lit(f"{target} or {pointer} is still in question"), "flagged"))
             continue
         orphans = R.orphan_references(validated, target, pointer)
-        orphans = cut(orphans.join(of_kind(answers, "manager").select(F.split("subject", ":", 2)[1].alias("missing")), "missing", "left_anti"))
+        orphans = cut(orphans.join(of_kind(answers, "manager").select(subject_parts(F.col("subject"), 2)(1).alias("missing")), "missing", "left_anti"))
         late.append(Q.orphan_questions(orphans))
         blocks.append(R.orphan_refs(orphans, validated, pointer).select("subject", "_rid"))
         graph = cut(R.reference_graph(validated, target, pointer))

@@ -63,7 +63,7 @@ def melt_sql(source: str, file: str, cols: list[str], pos: str = "_pos") -> str:
 _PROFILE_SQL = """
 , vf AS (SELECT file, "column", value, count(*) AS n, min(pos) AS min_pos FROM cells GROUP BY ALL),
 r AS (SELECT *, value <> '' AND lower(value) NOT IN ('nan', 'none', 'null') AS ok FROM vf),
-s AS (SELECT file, "column", sum(n) AS row_count, sum(CASE WHEN ok THEN n ELSE 0 END) AS non_null, count(CASE WHEN ok THEN 1 END) AS cardinality,
+s AS (SELECT file, "column", CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(CASE WHEN ok THEN n ELSE 0 END) AS BIGINT) AS non_null, count(CASE WHEN ok THEN 1 END) AS cardinality,
   sum(CASE WHEN ok AND regexp_matches(value, '^[^@\\s]+@[^@\\s]+\\.[A-Za-z]{2,}$') THEN n ELSE 0 END) AS email,
   sum(CASE WHEN ok AND regexp_matches(value, '^(\\d{1,4}[-/.]\\d{1,2}[-/.]\\d{1,4}|\\d{1,2}\\s+[A-Za-z]{3,9}\\s+\\d{2,4}|[A-Za-z]{3,9}\\s+\\d{1,2},?\\s+\\d{2,4})$') THEN n ELSE 0 END) AS dates,
   sum(CASE WHEN ok AND regexp_matches(value, '^\\+?[\\d\\s\\-()]{9,20}$') THEN n ELSE 0 END) AS phone,
@@ -246,21 +246,21 @@ def _read_sql(source: str, key: str) -> str:
     CASE kind WHEN 'empty' THEN 'empty' WHEN 'other' THEN 'unrecognised format' WHEN 'neither' THEN 'neither component can be a month' END AS error FROM h)"""
 
 
-@query(f"WITH {ctes('order_dates')}, {_read_sql('order_dates', 'o_orderkey')} SELECT o_orderkey, parsed, kind = 'either' AS ambiguous, implies, error FROM read")
+@query(f"WITH {ctes('order_dates')}, {_read_sql('order_dates', 'o_orderkey')} SELECT o_orderkey, CAST(parsed AS VARCHAR) AS parsed, kind = 'either' AS ambiguous, implies, error FROM read")
 def read_dates(spark, sf):
     """What one text says about itself."""
     read = derive(spark, sf, "order_dates").select("o_orderkey", D.read_value(F.col("text")).alias("r"))
-    return read.select("o_orderkey", "r.parsed", "r.ambiguous", "r.implies", "r.error")
+    return read.select("o_orderkey", F.col("r.parsed").cast("string").alias("parsed"), "r.ambiguous", "r.implies", "r.error")
 
 
 @query(f"""WITH {ctes('order_dates')}, {_read_sql('order_dates', 'o_orderkey')},
   f AS (SELECT *, coalesce(parsed, CASE WHEN kind = 'either' THEN as_dmy END) AS v FROM read)
-  SELECT o_orderkey, v AS date, CASE WHEN v IS NOT NULL THEN NULL WHEN error IS NOT NULL THEN error WHEN kind <> 'either' THEN 'unreadable' ELSE 'not a real calendar date' END AS error FROM f""")
+  SELECT o_orderkey, CAST(v AS VARCHAR) AS date, CASE WHEN v IS NOT NULL THEN NULL WHEN error IS NOT NULL THEN error WHEN kind <> 'either' THEN 'unreadable' ELSE 'not a real calendar date' END AS error FROM f""")
 def apply_dates(spark, sf):
     """one column read day first."""
     read = derive(spark, sf, "order_dates").select("o_orderkey", D.read_value(F.col("text")).alias("r"))
     out = read.select("o_orderkey", D.apply_convention(F.col("r"), "DMY").alias("d"))
-    return out.select("o_orderkey", "d.date", "d.error")
+    return out.select("o_orderkey", F.col("d.date").cast("string").alias("date"), "d.error")
 
 
 _DATECOLS = ["day_first", "month_first", "iso", "unclear", "mixed", "unreadable"]
