@@ -1,13 +1,15 @@
 """Reading dates: one value may be unreadable alone, a column rarely is.
 
-``read_value`` returns everything one text says about itself; the decision which
+``with_readings`` adds everything one text says about itself; the decision which
 of two readings holds is taken per column (``operators.dates``) and applied with
 ``apply_convention``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomfold.functions.text import strip, text_of
 
@@ -34,57 +36,72 @@ def full_year(y: Column) -> Column:
 
 
 def calendar_date(y: Column, m: Column, d: Column) -> Column:
-    """A date, or null where the calendar has no such day."""
-    ok = y.between(1, 9999) & m.between(1, 12) & d.between(1, 31)
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(ok, F.try_to_date(text, "yyyy-MM-dd"))
-
-
-def _parts(text: Column, pattern: str, groups: str) -> Column:
-    return F.split(F.regexp_replace(text, pattern, groups), "\u0001")
+    """A date, or null where the calendar has no such day (never an error)."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    length = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    return F.when(y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= length), F.make_date(y, m, d))
 
 
-def _int(parts: Column, i: int) -> Column:
-    return F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
+def date_parts(c: Column) -> Column:
+    """struct(shape, pieces): one text taken apart.
 
-
-def read_value(c: Column) -> Column:
-    """struct(parsed, ambiguous, implies, error, dmy, mdy) for one text."""
+    ``worded``: day, month, year.  ``numeric``: the three numbers as written.
+    ``empty`` and ``other`` have no pieces.
+    """
     text = strip(text_of(c))
     is_dmy, is_mdy, is_num = text.rlike(_TEXT_DMY), text.rlike(_TEXT_MDY), text.rlike(_NUMERIC)
-
-    def month(parts: Column, i: int) -> Column:
-        name = F.lower(F.substring(F.try_element_at(parts, F.lit(i + 1)), 1, 3))
-        return ((F.instr(F.lit(_MONTHS), name) + 2) / 3).cast("int")
-
-    p_dmy, p_mdy = _parts(text, _TEXT_DMY, "$1\u0001$2\u0001$3"), _parts(text, _TEXT_MDY, "$1\u0001$2\u0001$3")
-    worded = F.when(is_dmy, calendar_date(full_year(_int(p_dmy, 2)), month(p_dmy, 1), _int(p_dmy, 0))).when(
-        is_mdy, calendar_date(full_year(_int(p_mdy, 2)), month(p_mdy, 0), _int(p_mdy, 1)))
-
-    num = _parts(text, _NUMERIC, "$1\u0001$3\u0001$4")
-    lead = F.length(F.try_element_at(num, F.lit(1)))
-    a, b, last = _int(num, 0), _int(num, 1), _int(num, 2)
-    year = full_year(last)
-    dmy, mdy = calendar_date(year, b, a), calendar_date(year, a, b)
-
-    kind = (F.when(text == "", "empty").when(is_dmy | is_mdy, "worded").when(~is_num, "other")
-            .when(lead == 4, ISO).when((a > 12) & (b <= 12), DMY).when((b > 12) & (a <= 12), MDY)
-            .when((a > 12) & (b > 12), "neither").otherwise("either"))
-    # The kind is referenced by every member below; binding it through a
-    # one-element transform evaluates it once per value.
-    def build(k: Column) -> Column:
-        return F.struct(
-            F.when(k == "worded", worded).when(k == ISO, calendar_date(a, b, last))
-             .when(k == DMY, dmy).when(k == MDY, mdy).alias("parsed"),
-            (k == "either").alias("ambiguous"),
-            F.when(k.isin(DMY, MDY, ISO), k).alias("implies"),
-            F.when(k == "empty", "empty").when(k == "other", "unrecognised format")
-             .when(k == "neither", "neither component can be a month").alias("error"),
-            F.when(k == "either", dmy).alias("dmy"),
-            F.when(k == "either", mdy).alias("mdy"),
-        )
-
-    return F.transform(F.array(kind), build)[0]
+    bar = "\u0001"
+    pieces = F.split(F.when(is_dmy, F.regexp_replace(text, _TEXT_DMY, f"$1{bar}$2{bar}$3"))
+                     .when(is_mdy, F.regexp_replace(text, _TEXT_MDY, f"$2{bar}$1{bar}$3"))
+                     .when(is_num, F.regexp_replace(text, _NUMERIC, f"$1{bar}$3{bar}$4")), bar)
+    shape = F.when(text == "", "empty").when(is_dmy | is_mdy, "worded").when(is_num, "numeric").otherwise("other")
+    return F.struct(shape.alias("shape"), pieces.alias("pieces"))
+
+
+def _numbers(parts: Column) -> Column:
+    """struct(shape, a, b, last, lead): the pieces as numbers, month names resolved."""
+    shape, piece = parts["shape"], lambda i: F.get(parts["pieces"], F.lit(i))
+    a, last = piece(0).try_cast("int"), piece(2).try_cast("int")
+    month = ((F.instr(F.lit(_MONTHS), F.lower(F.substring(piece(1), 1, 3))) + 2) / 3).cast("int")
+    b = F.when(shape == "worded", month).otherwise(piece(1).try_cast("int"))
+    return F.struct(shape.alias("shape"), a.alias("a"), b.alias("b"), last.alias("last"), F.length(piece(0)).alias("lead"))
+
+
+def _kind(n: Column) -> Column:
+    a, b = n["a"], n["b"]
+    return (F.when(n["shape"] != "numeric", n["shape"]).when(n["lead"] == 4, ISO).when((a > 12) & (b <= 12), DMY)
+            .when((b > 12) & (a <= 12), MDY).when((a > 12) & (b > 12), "neither").otherwise("either"))
+
+
+def with_readings(df: DataFrame, texts: Mapping[str, Column]) -> DataFrame:
+    """Add one struct(parsed, ambiguous, implies, error, dmy, mdy) per text.
+
+    A short chain of projections: each pattern is matched once per value and every
+    later step works on small columns, which keeps the generated code small.
+    """
+    if not texts:
+        return df
+    keep, outs = df.columns, list(texts)
+    df = df.withColumns({f"_p_{o}": date_parts(c) for o, c in texts.items()})
+    df = df.withColumns({f"_n_{o}": _numbers(F.col(f"_p_{o}")) for o in outs})
+    df = df.withColumns({f"_k_{o}": _kind(F.col(f"_n_{o}")) for o in outs} | {f"_y_{o}": full_year(F.col(f"_n_{o}.last")) for o in outs})
+    dates = {}
+    for o in outs:
+        k, n, y = F.col(f"_k_{o}"), F.col(f"_n_{o}"), F.col(f"_y_{o}")
+        dates[f"_1_{o}"] = F.when(k == ISO, calendar_date(n["a"], n["b"], n["last"])).when(k == MDY, calendar_date(y, n["a"], n["b"])).when(
+            k.isin("worded", DMY, "either"), calendar_date(y, n["b"], n["a"]))
+        dates[f"_2_{o}"] = F.when(k == "either", calendar_date(y, n["a"], n["b"]))
+    df = df.withColumns(dates)
+    return df.select(*keep, *[_reading(F.col(f"_k_{o}"), F.col(f"_1_{o}"), F.col(f"_2_{o}")).alias(o) for o in outs])
+
+
+def _reading(kind: Column, first: Column, second: Column) -> Column:
+    two = kind == "either"
+    return F.struct(
+        F.when(~two, first).alias("parsed"), two.alias("ambiguous"), F.when(kind.isin(DMY, MDY, ISO), kind).alias("implies"),
+        F.when(kind == "empty", "empty").when(kind == "other", "unrecognised format")
+         .when(kind == "neither", "neither component can be a month").alias("error"),
+        F.when(two, first).alias("dmy"), second.alias("mdy"))
 
 
 def apply_convention(reading: Column, convention: Column | str | None) -> Column:

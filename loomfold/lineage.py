@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Materialise a data-sized result as a table in the checkpoint folder.
+
+    Unlike ``cut`` it is columnar: later steps read only the columns they need, and
+    the planner knows its real size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether a side has at most ``limit`` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit

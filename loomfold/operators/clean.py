@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomfold.functions.dates import apply_convention, describe, read_value
+from loomfold.functions.dates import apply_convention, describe, with_readings
 from loomfold.functions.text import col, collapse, filled, normalise, smart_title, split_name, strip
 from loomfold.lineage import broadcast_if_small, cut
 from loomfold.operators.dates import column_votes, decide_conventions
@@ -117,6 +117,7 @@ def _clean_file(file: str, number: int, df: DataFrame, maps: list, spec: SchemaS
                 answers: Mapping[str, str]) -> DataFrame:
     # stage 1: normalised text (and date readings), each computed once per row
     stage: dict[str, Column] = {}
+    readings: dict[str, Column] = {}
     for i, m in enumerate(maps):
         target = spec.field(m["target_field"])
         if m["transform"] == SPLIT:
@@ -124,8 +125,9 @@ def _clean_file(file: str, number: int, df: DataFrame, maps: list, spec: SchemaS
             continue
         stage[f"_n{i}"] = normalise(col(m["column"]), target)
         if target.type == "date":
-            stage[f"_d{i}"] = read_value(stage[f"_n{i}"])
+            readings[f"_d{i}"] = F.col(f"_n{i}")
     rows = df.select("_source", "_file", (F.lit(number << FILE_SHIFT) + F.col("_pos")).alias("_ord"), *[c.alias(n) for n, c in stage.items()])
+    rows = with_readings(rows, readings)
     for i, m in enumerate(maps):
         words = fuzzy.get(m["target_field"])
         if words is not None and m["transform"] != SPLIT:

@@ -6,13 +6,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomfold.functions.dates import DMY, ISO, MDY, read_value
+from loomfold.functions.dates import DMY, ISO, MDY, with_readings
 from loomfold.spec import DEFAULT_POLICY, Policy
 
 
 def column_votes(vf: DataFrame) -> DataFrame:
     """A4 over value frequencies: each distinct text is read once and counts ``n`` times."""
-    read = vf.where(F.col("value") != "").withColumn("_r", read_value(F.col("value")))
+    read = with_readings(vf.where(F.col("value") != ""), {"_r": F.col("value")})
     n, r = F.col("n"), F.col("_r")
     votes = read.groupBy("file", "column").agg(
         F.sum(n).alias("total"),

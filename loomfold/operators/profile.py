@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomfold.functions.formats import TYPE_PATTERNS, TYPE_SHARES, pii_kind
 from loomfold.functions.text import col, is_null_word, redact_samples, strip
-from loomfold.lineage import cut
+from loomfold.lineage import keep
 from loomfold.sources.tables import source_columns
 
 SAMPLE_SIZE, SHOWN_SAMPLES = 8, 5
@@ -87,7 +87,7 @@ def profile_columns(sources: Mapping[str, DataFrame], vf: DataFrame | None = Non
     The frequencies are read twice (counts, samples) and differently pruned, so
     they are written once instead of being scanned and shuffled twice.
     """
-    vf = cut(value_frequency(sources)) if vf is None else vf
+    vf = keep(value_frequency(sources)) if vf is None else vf
     joined = _stats(vf).join(first_distinct(vf), ["file", "column"], "left")
     raw = F.coalesce(F.col("raw_samples"), F.array().cast("array<string>"))
     typed = joined.withColumn("raw_samples", raw).withColumn("inferred_type", inferred_type())

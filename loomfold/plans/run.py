@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomfold.functions.text import col, strip, text_of, subject_parts
-from loomfold.lineage import cut
+from loomfold.lineage import cut, keep
 from loomfold.operators import clean as C, judge as J, references as R, resolve as E, validate as V
 from loomfold.operators.answers import answers_frame, kind_of, of_kind, rule_answers
 from loomfold.operators.load import carry_status
@@ -106,7 +106,7 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
     now = F.current_timestamp()
 
     # evidence and decisions about columns
-    vf = cut(value_frequency(sources))
+    vf = keep(value_frequency(sources))
     profiles = cut(profile_columns(sources, vf))
     mappings = cut(match_columns(profiles, spec, policy, answers, memory, cosines))
     place = {f: i for i, f in enumerate(sources)}
@@ -125,9 +125,9 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
 
     # rows, then records
     cleaned = C.clean(sources, rows_of, spec, vf, policy, rules)
-    rows = cut(cleaned.rows)
+    rows = keep(cleaned.rows)
     records, members = E.resolve_records(rows, spec, carry=("_waiting", "_questions"))
-    records, members = cut(records), cut(members)
+    records, members = keep(records), keep(members)
     records = records.withColumns({"push_status": F.lit("pending"), "push_detail": F.lit("")})
     column_questions += [Q.vocabulary_questions(cleaned.verdicts), Q.date_questions(cleaned.conventions)]
     ordered = union_all(column_questions).withColumns({"_f": file_no, "_s": F.when(F.col("evidence")["vocabulary_mismatch"].isNotNull(), 1).otherwise(0)})
@@ -149,7 +149,7 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
     if _any(merges):
         before = records
         records, members = E.apply_merges(records, members, cut(merges), spec)
-        records, members = cut(records), cut(members)
+        records, members = keep(records), keep(members)
         gone = before.select("_rid", F.col("key").alias("absorbed")).join(records.select("_rid"), "_rid", "left_anti").join(
             E.final_winners(merges).withColumnRenamed("member", "_rid"), "_rid").join(records.select(F.col("_rid").alias("winner"), "key"), "winner")
         parts.append(audit_rows(gone, run_id, now, "human", F.lit("merge_records"), F.col("key"), F.col("absorbed"), F.col("key"), F.lit("merged on an answer")))
@@ -170,7 +170,7 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
     structural = [r["field"] for r in missing.where("structural").collect()]
     records, suppressed, fields_asked = V.apply_field_answers(records, structural, rules)
     held = pending | suppressed
-    validated = cut(V.validate_and_repair(records, spec, held, "waiting", policy, roles))
+    validated = keep(V.validate_and_repair(records, spec, held, "waiting", policy, roles))
     live = validated.where("push_status <> 'skipped'")
     late = [Q.record_questions(validated, spec, held), Q.field_questions(missing, fields_asked)]
     blocks.append(live.where(F.size("issues") > 0).select(F.concat(F.lit("record:"), "key").alias("subject"), "_rid"))

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomfold.functions.dates import apply_convention, read_value
+from loomfold.functions.dates import apply_convention, with_readings
 from loomfold.functions.text import col, normalise, norm_key, smart_title, split_name, text_of
 from loomfold.operators.match import SPLIT
 from loomfold.operators.validate import ROLES, Roles, check
@@ -25,19 +25,21 @@ def cleaned_stream(stream: DataFrame, maps: Sequence[Mapping], spec: SchemaSpec,
                    answers: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Accepted mappings applied to a stream; ``conventions`` by column."""
     conventions, answers = dict(conventions or {}), dict(answers or {})
-    first = {}
+    first, readings = {}, {}
     for i, m in enumerate(maps):
         target = spec.field(m["target_field"])
-        raw = split_name(col(m["column"])) if m.get("transform") == SPLIT else normalise(col(m["column"]), target)
-        first[f"_n{i}"] = read_value(raw) if target.type == "date" and m.get("transform") != SPLIT else raw
-    staged = stream.select(*keep, *[c.alias(n) for n, c in first.items()])
+        split = m.get("transform") == SPLIT
+        first[f"_n{i}"] = split_name(col(m["column"])) if split else normalise(col(m["column"]), target)
+        if target.type == "date" and not split:
+            readings[f"_d{i}"] = F.col(f"_n{i}")
+    staged = with_readings(stream.select(*keep, *[c.alias(n) for n, c in first.items()]), readings)
     out = {}
     for i, m in enumerate(maps):
         target, value = spec.field(m["target_field"]), F.col(f"_n{i}")
         if m.get("transform") == SPLIT:
             out["first_name"], out["last_name"] = smart_title(value["first"]), smart_title(value["last"])
         elif target.type == "date":
-            out[target.name] = F.coalesce(apply_convention(value, conventions.get(m["column"]))["date"].cast("string"), F.lit(""))
+            out[target.name] = F.coalesce(apply_convention(F.col(f"_d{i}"), conventions.get(m["column"]))["date"].cast("string"), F.lit(""))
         elif target.type == "enum":
             low = F.lower(value)
             out[target.name] = F.coalesce(answered_word(target.name, low, answers), known_word(target, low), F.lit(""))

@@ -249,7 +249,7 @@ def _read_sql(source: str, key: str) -> str:
 @query(f"WITH {ctes('order_dates')}, {_read_sql('order_dates', 'o_orderkey')} SELECT o_orderkey, CAST(parsed AS VARCHAR) AS parsed, kind = 'either' AS ambiguous, implies, error FROM read")
 def read_dates(spark, sf):
     """What one text says about itself."""
-    read = derive(spark, sf, "order_dates").select("o_orderkey", D.read_value(F.col("text")).alias("r"))
+    read = D.with_readings(derive(spark, sf, "order_dates"), {"r": F.col("text")})
     return read.select("o_orderkey", F.col("r.parsed").cast("string").alias("parsed"), "r.ambiguous", "r.implies", "r.error")
 
 
@@ -258,7 +258,7 @@ def read_dates(spark, sf):
   SELECT o_orderkey, CAST(v AS VARCHAR) AS date, CASE WHEN v IS NOT NULL THEN NULL WHEN error IS NOT NULL THEN error WHEN kind <> 'either' THEN 'unreadable' ELSE 'not a real calendar date' END AS error FROM f""")
 def apply_dates(spark, sf):
     """one column read day first."""
-    read = derive(spark, sf, "order_dates").select("o_orderkey", D.read_value(F.col("text")).alias("r"))
+    read = D.with_readings(derive(spark, sf, "order_dates"), {"r": F.col("text")})
     out = read.select("o_orderkey", D.apply_convention(F.col("r"), "DMY").alias("d"))
     return out.select("o_orderkey", F.col("d.date").cast("string").alias("date"), "d.error")
 
