@@ -51,16 +51,19 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def salted_lookup(big: DataFrame, dim: DataFrame, key: str, hot: DataFrame, salts: int = 64) -> DataFrame:
+def salted_lookup(big: DataFrame, dim: DataFrame, key: str, hot: DataFrame, spread: str, salts: int = 64) -> DataFrame:
     """``big`` left-joined to ``dim`` (unique on ``key``), hot keys spread over ``salts`` tasks.
 
+    The salt is a hash of the ``spread`` column (a row id), so a recomputed task
+    sends every row where the first attempt sent it.
+
     ``hot`` lists the keys known to be heavy in ``big`` (a bounded list: a key is
     only heavy if it holds a fixed share of all rows).  Their ``dim`` rows are
     replicated once per salt; every other key keeps salt 0.
     """
     mark = F.broadcast(hot.select(key).distinct().withColumn("_hot", F.lit(True)))
     left = (big.join(mark, key, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(0))
+            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
             .drop("_hot"))
     right = (dim.join(mark, key, "left")
              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

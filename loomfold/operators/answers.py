@@ -104,8 +104,8 @@ def add_missing(answers: DataFrame, extra: DataFrame) -> DataFrame:
 
 def expand_skip_all(answers: DataFrame, refs: DataFrame, subject: str, prefix: str) -> DataFrame:
     """A batch answer "skip" stands for one answer per record it names."""
-    said = answers.where((F.col("subject") == subject) & (F.col("value") == "skip")).select("subject")
-    extra = (refs.join(said, "subject", "left_semi").select("ref").distinct()
+    said = answers.where((F.col("subject") == subject) & (F.col("value") == "skip")).select("subject").distinct()     # at most one row
+    extra = (refs.join(F.broadcast(said), "subject", "left_semi").select("ref").distinct()
              .select(F.concat(F.lit(prefix + ":"), F.col("ref")).alias("subject"), F.lit("value").alias("action"),
                      F.lit("skip").alias("value"), F.lit(None).cast("map<string,string>").alias("fields")))
     return add_missing(answers, extra)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.functions.text import col, norm_key
-from loomfold.lineage import cut
+from loomfold.lineage import cut, salted_lookup
 
 HOT_SHARE = 1_000          # a node is hot if it holds over 1/HOT_SHARE of all edge ends
 HOT_MINIMUM = 100_000
@@ -94,15 +94,22 @@ def identifier_components(rows: DataFrame, identifiers: Sequence[str]) -> tuple[
     return placed, labels
 
 
-def assign_components(rows: DataFrame, identifiers: Sequence[str], labels: DataFrame) -> DataFrame:
+def assign_components(rows: DataFrame, identifiers: Sequence[str], labels: DataFrame, tuples: DataFrame) -> DataFrame:
     """Rows with ``_rid``: their component, or a name of their own without identifiers.
 
-    Only identifier values that take part in a link need looking up; the lookup is
-    unique per value, and a value shared by a large part of all rows is split by
-    the adaptive skew join.
+    The lookup is unique per identifier value.  ``tuples`` already counts the rows
+    behind every value, so values holding a fixed share of all rows (at most
+    HOT_SHARE of them) are known beforehand and spread over many tasks.
     """
-    anchor = F.coalesce(*[identifier_node(i) for i in identifiers])
-    placed = rows.withColumn("_anchor", anchor).join(labels.withColumnRenamed("node", "_anchor"), "_anchor", "left")
+    anchored = rows.withColumn("_anchor", F.coalesce(*[identifier_node(i) for i in identifiers]))
+    lookup = labels.withColumnRenamed("node", "_anchor")
+    total = tuples.agg(F.coalesce(F.sum("_n"), F.lit(0))).collect()[0][0]
+    if total > HOT_MINIMUM:
+        weight = tuples.groupBy(F.coalesce(*[f"_id{k}" for k in range(len(identifiers))]).alias("_anchor")).agg(F.sum("_n").alias("_w"))
+        hot = weight.where(F.col("_w") > max(HOT_MINIMUM, total // HOT_SHARE)).select("_anchor")
+        placed = salted_lookup(anchored, lookup, "_anchor", hot, "_source")
+    else:
+        placed = anchored.join(lookup, "_anchor", "left")
     own = F.concat(F.lit("row\u0001"), F.col("_source"))
     return placed.withColumn("_rid", F.coalesce("component", "_anchor", own)).drop("component", "_anchor")
 

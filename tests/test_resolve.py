@@ -167,4 +167,4 @@ def test_salted_lookup_equals_a_left_join(spark):
     big = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
     dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
     hot = spark.createDataFrame([("hot",)], "k string")
-    assert sorted(map(tuple, salted_lookup(big, dim, "k", hot).select("k", "id", "v").collect()), key=str) == sorted(map(tuple, big.join(dim, "k", "left").select("k", "id", "v").collect()), key=str)
+    assert sorted(map(tuple, salted_lookup(big, dim, "k", hot, "id").select("k", "id", "v").collect()), key=str) == sorted(map(tuple, big.join(dim, "k", "left").select("k", "id", "v").collect()), key=str)
