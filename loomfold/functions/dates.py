@@ -22,7 +22,11 @@ _TEXT_DMY = rf"(?i)^([0-9]{{1,2}})[\s-]+({_MONTH})[\s-]+([0-9]{{2,4}})$"
 _TEXT_MDY = rf"(?i)^({_MONTH})[\s-]+([0-9]{{1,2}}),?[\s-]+([0-9]{{2,4}})$"
 _NUMERIC = r"^([0-9]{1,4})([-/.])([0-9]{1,2})\2([0-9]{1,4})$"
 
+# Why a text is not a date.
+EMPTY, UNRECOGNISED = "empty", "unrecognised format"
+NEITHER = "neither component can be a month"
 NO_CONVENTION = "ambiguous and no convention established for the column"
+UNREADABLE, NOT_A_DAY = "unreadable", "not a real calendar date"
 _DESCRIPTION = {DMY: "day/month/year", MDY: "month/day/year", ISO: "year-month-day"}
 
 
@@ -99,8 +103,7 @@ def _reading(kind: Column, first: Column, second: Column) -> Column:
     two = kind == "either"
     return F.struct(
         F.when(~two, first).alias("parsed"), two.alias("ambiguous"), F.when(kind.isin(DMY, MDY, ISO), kind).alias("implies"),
-        F.when(kind == "empty", "empty").when(kind == "other", "unrecognised format")
-         .when(kind == "neither", "neither component can be a month").alias("error"),
+        F.when(kind == "empty", EMPTY).when(kind == "other", UNRECOGNISED).when(kind == "neither", NEITHER).alias("error"),
         F.when(two, first).alias("dmy"), second.alias("mdy"))
 
 
@@ -112,9 +115,9 @@ def apply_convention(reading: Column, convention: Column | str | None) -> Column
     value = F.coalesce(reading["parsed"], F.when(reading["ambiguous"], chosen))
     error = (F.when(value.isNotNull(), F.lit(None).cast("string"))
              .when(reading["error"].isNotNull(), reading["error"])
-             .when(~reading["ambiguous"], F.lit("unreadable"))
+             .when(~reading["ambiguous"], F.lit(UNREADABLE))
              .when(~known, F.lit(NO_CONVENTION))
-             .otherwise(F.lit("not a real calendar date")))
+             .otherwise(F.lit(NOT_A_DAY)))
     return F.struct(value.alias("date"), error.alias("error"))
 
 

@@ -125,11 +125,11 @@ def push_audit(outcomes: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
 
 def rejection_flood(outcomes: DataFrame, policy: Policy = DEFAULT_POLICY, answer: str | None = None) -> DataFrame:
     """One row -- attempted, rejected, the leading reason, and whether it is one question."""
-    totals = outcomes.agg(F.count(F.lit(1)).alias("attempted"), F.count(F.when(F.col("outcome") == "rejected", 1)).alias("rejected"))
-    reasons = (outcomes.where("outcome = 'rejected'").groupBy(generalise(F.coalesce("message", F.lit(""))).alias("reason"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    top = reasons.agg(F.max_by(F.struct("reason", "n"), F.struct("n", "reason")).alias("t"))
-    one = totals.withColumn("_k", F.lit(1)).join(top.withColumn("_k", F.lit(1)), "_k")
+    refused = F.col("outcome") == "rejected"
+    reason = F.when(refused, generalise(F.coalesce("message", F.lit(""))))
+    by_reason = outcomes.groupBy("outcome", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))      # one row per distinct reason
+    one = by_reason.agg(F.sum("n").alias("attempted"), F.coalesce(F.sum(F.when(refused, F.col("n"))), F.lit(0)).alias("rejected"),
+                        F.max(F.when(refused, F.struct("n", "reason"))).alias("t"))
     rejected, attempted, n = F.col("rejected"), F.col("attempted"), F.col("t.n")
     flood = ((rejected >= policy.rejection_flood_min) & (rejected / attempted >= policy.rejection_flood_rate)
              & (n / rejected >= policy.rejection_flood_rate) & F.lit(answer != "review"))

@@ -8,13 +8,13 @@ them from ``foreachBatch``.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.functions.dates import apply_convention, with_readings
 from loomfold.functions.text import col, normalise, norm_key, smart_title, split_name, text_of
+from loomfold.lineage import scratch
 from loomfold.operators.match import SPLIT
 from loomfold.operators.validate import ROLES, Roles, check
 from loomfold.operators.vocabulary import answered_word, known_word
@@ -67,8 +67,7 @@ def first_per_identifier(stream: DataFrame, identifiers: Sequence[str], event_ti
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is available now and read back what it wrote."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
-    folder = f"{base}/{name}-{spark.sparkContext.applicationId}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = scratch(spark, name)
     out, state = f"{folder}/out", f"{folder}/state"
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -168,3 +168,18 @@ def test_salted_lookup_equals_a_left_join(spark):
     dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
     hot = spark.createDataFrame([("hot",)], "k string")
     assert sorted(map(tuple, salted_lookup(big, dim, "k", hot, "id").select("k", "id", "v").collect()), key=str) == sorted(map(tuple, big.join(dim, "k", "left").select("k", "id", "v").collect()), key=str)
+
+
+def test_heavy_keys_take_their_own_path_to_the_same_answer(spark, monkeypatch):
+    from loomfold.operators import components as G
+
+    edges = [("hub", f"h{i}") for i in range(200)] + [(f"h{i}", f"k{i}") for i in range(0, 200, 3)] + [("a", "b"), ("b", "c")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    items = [{"_source": f"a.csv#{i}", "employee_code": "E0" if i % 3 == 0 else f"E{i}", "work_email": f"m{i - i % 2}@x.com"} for i in range(120)]
+    plain = {r["node"]: r["component"] for r in G.connected_components(df).collect()}
+    rid = lambda: {r["_source"]: r["_rid"] for r in E.resolve_records(rows(spark, items), EMPLOYEE)[1].collect()}      # noqa: E731
+    before = rid()
+    monkeypatch.setattr(G, "HOT_MINIMUM", 10)
+    monkeypatch.setattr(G, "HOT_SHARE", 20)
+    assert {r["node"]: r["component"] for r in G.connected_components(df).collect()} == plain
+    assert rid() == before

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
-from loomfold.lineage import cut
+from loomfold.lineage import cut, scratch
 from loomfold.operators import answers as A, judge as J, load as L, match as M, review as W, validate as V
 from loomfold.plans import plan as P, questions as Q, recipe as RC
 from loomfold.plans.run import run
@@ -400,8 +399,7 @@ def recipe_replay(spark, sf):
 @query(f"""WITH {ctes('pushed')} SELECT key, CASE WHEN push_status = 'failed' THEN 'pending' ELSE push_status END AS push_status FROM pushed""")
 def run_store(spark, sf):
     """Write a run's records, rewrite them from their own contents, read one run back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    store = RunStore(spark, f"{base}/store")
+    store = RunStore(spark, scratch(spark, "store"))
     store.replace("records", "a", derive(spark, sf, "pushed"))
     store.replace("records", "b", derive(spark, sf, "pushed").withColumn("push_status", F.lit("other")))
     store.update_records("a", lambda r: r.withColumn("push_status", F.when(F.col("push_status") == "failed", "pending").otherwise(F.col("push_status"))))

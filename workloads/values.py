@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from loomfold.functions import dates as D, formats as P, text as X
+from loomfold.lineage import scratch
 from loomfold.operators import clean as C, dates as OD, profile as OP, vocabulary as V
 from loomfold.sources.tables import from_table, load_source
 from workloads.inputs import ctes, derive, pad, plain, table
@@ -130,8 +128,7 @@ def row_provenance(spark, sf):
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'orders.csv#' || CAST(o_orderkey + 2 AS VARCHAR) AS source FROM orders")
 def csv_provenance(spark, sf):
     """S1/S2 on CSV part files: rows numbered per split, split offsets added back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = os.path.join(base, f"csv-{os.getpid()}-{id(object())}", "orders.csv")
+    path = scratch(spark, "csv") + "/orders.csv"
     table(spark, sf, "orders").write.option("header", True).option("maxRecordsPerFile", 4000).csv(path)
     return load_source(spark, path).select("o_orderkey", F.col("_source").alias("source"))
 
