@@ -352,7 +352,7 @@ def sweep_thresholds(profiles: DataFrame, candidates: DataFrame, truth: DataFram
     groups = _file_groups(profiles, candidates, None, None).select("*", F.inline(grid))
     fields = spec.names
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cell = replace(policy, mapping_auto_min=float(key[1]), mapping_margin_min=float(key[2]))
         out = _FileMatch(pdf, fields, cell, {}).run()[["file", "column", "target_field", "disposition"]]
         return out.assign(auto_min=float(key[1]), margin_min=float(key[2]))

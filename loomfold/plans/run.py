@@ -56,7 +56,7 @@ def _any(df: DataFrame) -> bool:
 
 
 def _near_duplicates(records: DataFrame, spec: SchemaSpec, policy: Policy, answers: DataFrame, rules: Mapping[str, str], roles: V.Roles):
-    """Questions, links, merge edges and the number of pairs left unlisted."""
+    """Questions, links, merge edges and the number of pairs only counted."""
     named = cut(E.name_groups(records, roles.birth, "first_name", "last_name", spec.person_identifier))
     links = cut(E.near_name_links(named, policy))
     counted = E.count_pairs(named, links)
@@ -94,8 +94,12 @@ def _near_duplicates(records: DataFrame, spec: SchemaSpec, policy: Policy, answe
             open_ = cut(pairs.join(answers.select("subject"), "subject", "left_anti"))
             questions.append(Q.duplicate_questions(open_))
             blocks.append(open_.select("subject", F.explode(F.array("rid_a", "rid_b")).alias("_rid")))
-            left = 0
-    return questions, blocks, edges, left if not listed else 0
+    if left and not listed:
+        # too many to list: one row stands for them, every record involved is held,
+        # and the batch question (which this many pairs always raise) takes over
+        questions.append(Q.unlisted_duplicates(named.sparkSession, left))
+        blocks.append(E.near_duplicate_records(named, links).select(F.lit(Q.UNLISTED).alias("subject"), "_rid"))
+    return questions, blocks, edges, 0 if listed else max(left - 1, 0)
 
 
 def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run", policy: Policy = DEFAULT_POLICY, answers: DataFrame | None = None,

@@ -99,3 +99,12 @@ def test_memory_keeps_only_column_answers(spark):
     assert {(r["column_key"], r["target"]) for r in memory_from_answers(told).collect()} == {("mail id", "personal_email"), ("office mail", "work_email")}
     p = spark.createDataFrame([("g", "MAIL id"), ("f", "Mail_ID"), ("g", "other")], "file string, column string")
     assert {(r["file"], r["column"]): r["answer"] for r in share_map_answers(told, p).collect()} == {("g", "MAIL id"): "personal_email", ("f", "Mail_ID"): "personal_email"}
+
+
+def test_the_sweep_accounts_for_every_known_column(spark):
+    p = profiles(spark, [("f", "Emp ID", "id", [f"E{i}" for i in range(8)]), ("f", "Dept", "string", ["Engineering", "Sales"]), ("f", "ctc_annual", "number", ["1", "2"], 2, 1)]).cache()
+    truth = spark.createDataFrame([("f", "Emp ID", "employee_code"), ("f", "Dept", "department"), ("f", "ctc_annual", "IGNORE")], "file string, column string, expected string")
+    got = {(r["auto_min"], r["margin_min"]): (r["right"], r["asked"], r["wrong"]) for r in
+           M.sweep_thresholds(p, M.score_candidates(p, EMPLOYEE), truth, EMPLOYEE, [0.6, 0.95], [0.0, 0.3]).collect()}
+    assert len(got) == 4 and all(sum(v) == 3 and v[2] == 0 for v in got.values())
+    assert got[0.6, 0.0][1] <= got[0.95, 0.3][1]                                    # a stricter cell never asks less

@@ -112,4 +112,5 @@ def test_a_flood_stops_the_run_without_listing_it(spark, tmp_path):
     path = write(tmp_path, "flood.csv", [person(i, first_name="Asha", last_name="Rao", date_of_birth="1990-01-01") for i in range(30)])
     result = analyse(spark, [path])
     assert subjects(result) == {"batch:rate"} and result.batch.collect()[0]["questions"] == 30 * 29 // 2
+    assert result.batch.collect()[0]["blocked"] == 30 and result.records.where("n_blocks = 0").count() == 0
     assert subjects(analyse(spark, [path], {"batch:rate": "continue"})) == {f"identity:T{1000 + i}|T{1000 + j}" for i in range(30) for j in range(i + 1, 30)}
