@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomfold.llm import bytebpe, fertility, htmltext, mixing, secrets, topk, urlrules
+from loomfold.llm import bytebpe, fertility, htmltext, mixing, neardup, secrets, topk, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,19 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("matched_rules")
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document, by shingles of two words."""
+    found = neardup.grouped(_table(spark, sf_dir, "documents").select("doc_id", "text"), neardup.NearRules(words=2))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages, keep=["page_id", "url"]).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op9_main_text)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op7_lsh_forest, op9_main_text)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
@@ -68,6 +74,21 @@ ORACLE: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_lsh_forest": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM t),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT doc_id, count(*) AS n, sum(CAST(hash(g) AS HUGEINT)) AS h FROM s GROUP BY doc_id),
+        p AS (SELECT min(doc_id) AS doc_id, n, h FROM c GROUP BY n, h),
+        q AS (SELECT s.* FROM s JOIN p USING (doc_id)),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM q a JOIN q b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+              UNION SELECT p.doc_id, c.doc_id FROM c JOIN p USING (n, h) WHERE p.doc_id <> c.doc_id),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+        SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, t.doc_id = m.component_id AS kept
+        FROM t LEFT JOIN n USING (doc_id) JOIN m ON m.doc_id = t.doc_id""",
     "op5_source_mix": r"""
         WITH d AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
                           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 15) AS BIGINT) AS k FROM documents),
