@@ -38,7 +38,7 @@ class FertilityRules:
     repeat_window: int = 8
     entropy_window: int = 256
     width: float = 7.0
-    floors: tuple[float, float, float] = (0.02, 0.01, 0.01)
+    floors: tuple[float, float, float] = (0.01, 0.005, 0.005)
     ranks: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pieces: str = public_tokenizers.path("piece_bpe_32k.model")
 

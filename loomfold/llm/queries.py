@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomfold.llm import bytebpe, fertility, htmltext, mixing, neardup, secrets, topk, urlrules
+from loomfold.llm import bytebpe, fertility, htmltext, mixing, neardup, secrets, topk, toxicity, urlrules
+from loomfold.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +60,21 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; every fifth id, by checksum, is kept from training."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rules = toxicity.ToxicRules()
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, rules), keep=["doc_id"], out="score", rules=rules)
+    return scored.select("doc_id", held_out(F.col("doc_id"), rules.folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages, keep=["page_id", "url"]).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op7_lsh_forest, op9_main_text)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op7_lsh_forest, op8_toxicity, op9_main_text)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
