@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomfold.llm import bytebpe, fertility, htmltext, mixing, neardup, secrets, topk, toxicity, urlrules
+from loomfold.llm import bytebpe, fertility, htmltext, logbilinear, mixing, neardup, secrets, topk, toxicity, urlrules
 from loomfold.llm.common import held_out
 
 
@@ -74,7 +75,14 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages, keep=["page_id", "url"]).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op7_lsh_forest, op8_toxicity, op9_main_text)}
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, by the model and by counts alone."""
+    return logbilinear.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op7_lsh_forest, op8_toxicity, op9_main_text,
+                                op10_log_bilinear)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
