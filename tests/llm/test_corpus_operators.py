@@ -217,11 +217,12 @@ def test_windows_cover_whole_texts():
 
 
 def test_toxicity_held_out(spark, odd, empty, clashing):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rules = toxicity.ToxicRules(epochs=4)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = toxicity.ToxicRules(sample=600, epochs=4)
     model = toxicity.fit(docs, labels, rules)
-    rows = toxicity.score(docs, model, rules=rules).join(labels, "doc_id").collect()
-    test = [(r.toxicity, r.toxic) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    rows = toxicity.score(docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0), model, keep=["doc_id", "toxic"], rules=rules).collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
+    test = [(r.toxicity, r.toxic) for r in rows]
     pairs = [(a > b) + (a == b) / 2 for a, x in test for b, y in test if x > y]
     assert sum(pairs) / len(pairs) > 0.85
     end = spark.createDataFrame([(1, "plain words go on and on here " * 400), (2, "plain words go on and on here " * 400 + "you worthless idiot, you stupid disgusting moron")], "doc_id long, text string")
