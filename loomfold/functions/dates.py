@@ -16,7 +16,7 @@ from loomfold.functions.text import strip, text_of
 DMY, MDY, ISO = "DMY", "MDY", "ISO"
 
 # The accepted shapes.  Month names count by their first three letters.
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}"
 _TEXT_DMY = rf"(?i)^([0-9]{{1,2}})[\s-]+({_MONTH})[\s-]+([0-9]{{2,4}})$"
 _TEXT_MDY = rf"(?i)^({_MONTH})[\s-]+([0-9]{{1,2}}),?[\s-]+([0-9]{{2,4}})$"
@@ -66,7 +66,8 @@ def _numbers(parts: Column) -> Column:
     """struct(shape, a, b, last, lead): the pieces as numbers, month names resolved."""
     shape, piece = parts["shape"], lambda i: F.get(parts["pieces"], F.lit(i))
     a, last = piece(0).try_cast("int"), piece(2).try_cast("int")
-    month = ((F.instr(F.lit(_MONTHS), F.lower(F.substring(piece(1), 1, 3))) + 2) / 3).cast("int")
+    names = F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair])
+    month = F.try_element_at(names, F.lower(F.substring(piece(1), 1, 3)))
     b = F.when(shape == "worded", month).otherwise(piece(1).try_cast("int"))
     return F.struct(shape.alias("shape"), a.alias("a"), b.alias("b"), last.alias("last"), F.length(piece(0)).alias("lead"))
 

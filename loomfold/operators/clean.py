@@ -23,7 +23,6 @@ from loomfold.operators.vocabulary import answered_word, canonicalise, known_wor
 from loomfold.spec import AUTO, DEFAULT_POLICY, FLAGGED, Policy, SchemaSpec
 
 FILE_SHIFT = 44                      # _ord = file number << 44 | row number
-NAME_SAMPLE = 200
 
 
 @dataclass
@@ -88,22 +87,21 @@ def vocabulary_values(vf: DataFrame, mappings: Sequence, spec: SchemaSpec, polic
 def cosmetic_changes(vf: DataFrame, mappings: Sequence, spec: SchemaSpec) -> DataFrame:
     """Per column, how many cells differ from their cleaned form -- counted on
     distinct values, without another pass over the rows."""
-    parts = []
+    value, clean = F.col("value"), F.lit(None).cast("string")
+    by_target: dict[str, list[tuple[str, str]]] = {}
     for m in accepted(mappings):
-        if m["transform"] == SPLIT:
-            continue
-        value = F.col("value")
-        clean = normalise(value, spec.field(m["target_field"]))
-        parts.append(_columns_of(vf, [(m["file"], m["column"])])
-                     .where((value != "") & (clean != "") & (clean != value)).select("file", "column", "n"))
-    if not parts:
-        return vf.select("file", "column", F.col("n").alias("changed")).limit(0)
-    return union_all(parts).groupBy("file", "column").agg(F.sum("n").alias("changed"))
+        if m["transform"] != SPLIT:
+            by_target.setdefault(m["target_field"], []).append((m["file"], m["column"]))
+    for target, places in by_target.items():
+        here = reduce(lambda a, b: a | b, [(F.col("file") == f) & (F.col("column") == c) for f, c in places])
+        clean = F.when(here, normalise(value, spec.field(target))).otherwise(clean)
+    return (vf.withColumn("_clean", clean).where((value != "") & (F.col("_clean") != "") & (F.col("_clean") != value))
+            .groupBy("file", "column").agg(F.sum("n").alias("changed")))
 
 
 def name_order(df: DataFrame, column: str) -> DataFrame:
-    """How a full-name column is written, judged on its first values."""
-    first = df.select(col(column).alias("v"), "_pos").where(strip(F.col("v")) != "").orderBy("_pos").limit(NAME_SAMPLE)
+    """How a full-name column is written, judged on all its values."""
+    first = df.select(col(column).alias("v")).where(strip(F.col("v")) != "")
     n, commas = F.count(F.lit(1)), F.count(F.when(F.contains("v", F.lit(",")), 1))
     long = F.count(F.when(F.size(F.split(collapse(F.col("v")), " ")) > 2, 1))
     counted = first.agg(n.alias("sampled"), commas.alias("with_comma"), long.alias("long_names")).where("sampled > 0")
@@ -112,9 +110,15 @@ def name_order(df: DataFrame, column: str) -> DataFrame:
         "disposition", F.when(surname_first, AUTO).otherwise(FLAGGED))
 
 
-def _clean_file(file: str, number: int, df: DataFrame, maps: list, spec: SchemaSpec, conventions: Mapping[tuple[str, str], str | None],
-                asking: set[tuple[str, str]], contradicted: set[tuple[str, str]], fuzzy: Mapping[str, DataFrame],
-                answers: Mapping[str, str]) -> DataFrame:
+OPEN = ("_waiting", "_questions", "_issues", "_edits")
+
+
+def cleaned_rows(df: DataFrame, carry: Sequence[Column | str], maps: Sequence[Mapping], spec: SchemaSpec, conventions: Mapping[tuple[str, str], str | None],
+                 asking: set[tuple[str, str]], contradicted: set[tuple[str, str]], fuzzy: Mapping[str, DataFrame], answers: Mapping[str, str]) -> DataFrame:
+    """``carry``, the contract's fields and what is open about each row (OPEN), by decided rules.
+
+    Row by row, with one lookup of decided words per vocabulary column: batch and stream alike.
+    """
     # stage 1: normalised text (and date readings), each computed once per row
     stage: dict[str, Column] = {}
     readings: dict[str, Column] = {}
@@ -126,7 +130,8 @@ def _clean_file(file: str, number: int, df: DataFrame, maps: list, spec: SchemaS
         stage[f"_n{i}"] = normalise(col(m["column"]), target)
         if target.type == "date":
             readings[f"_d{i}"] = F.col(f"_n{i}")
-    rows = df.select("_source", "_file", (F.lit(number << FILE_SHIFT) + F.col("_pos")).alias("_ord"), *[c.alias(n) for n, c in stage.items()])
+    kept = df.select(*carry)
+    rows = df.select(*carry, *[c.alias(n) for n, c in stage.items()])
     rows = with_readings(rows, readings)
     for i, m in enumerate(maps):
         words = fuzzy.get(m["target_field"])
@@ -169,7 +174,7 @@ def _clean_file(file: str, number: int, df: DataFrame, maps: list, spec: SchemaS
     def packed(items: list[Column], kind: str) -> Column:
         return F.array_compact(F.array(*items)) if items else F.array().cast(kind)
 
-    return rows.select("_source", "_file", "_ord", *[out[n].alias(n) for n in spec.names],
+    return rows.select(*[col(c) for c in kept.columns], *[out[n].alias(n) for n in spec.names],
                        packed(waiting, "array<string>").alias("_waiting"), packed(questions, "array<string>").alias("_questions"),
                        packed(issues, "array<string>").alias("_issues"),
                        packed(edits, "array<struct<field:string,before:string,after:string>>").alias("_edits"))
@@ -191,7 +196,8 @@ def clean(sources: Mapping[str, DataFrame], mappings: Sequence, spec: SchemaSpec
     in_use = [r["field"] for r in hits.select("field").distinct().collect()]
     fuzzy = {name: broadcast_if_small(hits.where(F.col("field") == name).select("value", "canonical"), policy.broadcast_rows) for name in in_use}
 
-    parts = [_clean_file(file, number, df, index[file], spec, {at: r["applied"] for at, r in settled.items()}, asking, refused, fuzzy, answers)
+    ordered = lambda number: (F.lit(number << FILE_SHIFT) + F.col("_pos")).alias("_ord")        # noqa: E731
+    parts = [cleaned_rows(df, ["_source", "_file", ordered(number)], index[file], spec, {at: r["applied"] for at, r in settled.items()}, asking, refused, fuzzy, answers)
              for number, (file, df) in enumerate(sources.items()) if file in index]
     if not parts:
         raise ValueError("no column of any source reached the contract")

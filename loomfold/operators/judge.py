@@ -87,11 +87,16 @@ def breaker_trips(blocked: Column, total: Column, questions: Column, policy: Pol
     return F.when(questions >= policy.breaker_absolute, "absolute").when(rate, "rate")
 
 
-def batch_rate(questions: DataFrame, refs: DataFrame, n_records: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """A12 over question and reference tables: one row with the counts and the verdict."""
+def batch_rate(questions: DataFrame, refs: DataFrame, n_records: DataFrame, policy: Policy = DEFAULT_POLICY, more: int = 0, more_refs: DataFrame | None = None) -> DataFrame:
+    """A12 over question and reference tables: one row with the counts and the verdict.
+
+    ``more``/``more_refs``: record-level questions that are counted but not listed, and the records they hold.
+    """
     record_level = questions.where(F.col("type").isin(*RECORD_LEVEL)).select("subject")
-    blocked = refs.join(record_level, "subject", "left_semi").agg(F.count_distinct("ref").alias("blocked"))
-    asked = questions.agg(F.count(F.lit(1)).alias("questions"))
+    held = refs.join(record_level, "subject", "left_semi").select("ref")
+    held = held if more_refs is None else held.unionByName(more_refs.select("ref"))
+    blocked = held.agg(F.count_distinct("ref").alias("blocked"))
+    asked = questions.agg((F.count(F.lit(1)) + more).alias("questions"))
     k = lambda df: df.withColumn("_k", F.lit(1))           # noqa: E731
     one = k(blocked).join(k(asked), "_k").join(k(n_records.select(F.col("n").alias("records"))), "_k").drop("_k")
     return one.withColumn("tripped", breaker_trips(F.col("blocked"), F.col("records"), F.col("questions"), policy))

@@ -105,7 +105,7 @@ def load_into_table(batch: DataFrame, target: DataFrame, policy: Policy = DEFAUL
 
 def record_outcomes(records: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Write outcomes back to every record of the key."""
-    said = outcomes.groupBy("key").agg(F.first(F.struct("outcome", "target_id", "message")).alias("_o"))
+    said = outcomes.groupBy("key").agg(F.max(F.struct((F.col("outcome") == "success").alias("_good"), "status", "outcome", "target_id", "message")).alias("_o"))
     detail = F.when(F.col("_o.outcome") == "success", F.col("_o.target_id")).otherwise(F.col("_o.message"))
     return (records.join(said, "key", "left")
             .withColumns({"push_status": F.coalesce("_o.outcome", "push_status"),

@@ -26,7 +26,7 @@ def orphan_references(records: DataFrame, target: str, pointer: str) -> DataFram
 
 def orphan_refs(orphans: DataFrame, records: DataFrame, pointer: str) -> DataFrame:
     """(subject, ref): the records behind each missing value."""
-    return (records.withColumn("missing", norm_key(col(pointer))).join(orphans.select("missing"), "missing", "left_semi")
+    return (records.withColumn("missing", norm_key(col(pointer))).where("missing <> ''").join(orphans.select("missing"), "missing", "left_semi")
             .select(F.concat(F.lit("manager:"), "missing").alias("subject"), F.col("key").alias("ref"), "_rid"))
 
 

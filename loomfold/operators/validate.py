@@ -51,15 +51,15 @@ def check(spec: SchemaSpec, suppress: Iterable[str] = (), waiting: Column | None
     for f in spec.fields:
         value = strip(text_of(get(f.name)))
         if f.required and f.name not in held:
-            out.append(_issue((value == "") & ~waits(f.name), f.name, "required", f"{f.name} is required but empty"))
+            out.append(_issue((value == "") & ~waits(f.name), f.name, "required", f"a record needs {f.name}, and this one has none"))
         if f.format in FORMATS:
-            out.append(_issue((value != "") & ~check_format(f.format, value), f.name, "format", f"{f.name} is not {FORMAT_HELP[f.format]}"))
+            out.append(_issue((value != "") & ~check_format(f.format, value), f.name, "format", f"the content of {f.name} does not read as {FORMAT_HELP[f.format]}"))
         if f.enum:
             out.append(_issue((value != "") & ~value.isin(*f.enum), f.name, "enum", F.concat(
-                F.lit(f"{f.name} '"), value, F.lit("' is not one of " + ", ".join(f.enum)))))
+                F.lit(f"{f.name} allows only " + ", ".join(f.enum) + "; found '"), value, F.lit("'"))))
         if f.max_length:
             out.append(_issue(F.length(value) > f.max_length, f.name, "length", F.concat(
-                F.lit(f"{f.name} is "), F.length(value).cast("string"), F.lit(f" characters, longer than the {f.max_length} allowed"))))
+                F.lit(f"{f.name} holds "), F.length(value).cast("string"), F.lit(f" characters where {f.max_length} fit"))))
     names = set(spec.names)
     if {roles.birth, roles.start, roles.end, roles.status} <= names and not held & {roles.status, roles.end}:
         ready = ~waits(roles.status) & ~waits(roles.end)
@@ -67,12 +67,12 @@ def check(spec: SchemaSpec, suppress: Iterable[str] = (), waiting: Column | None
         age = years_between(born, start)
         low, high = policy.min_age_at_joining, policy.max_age_at_joining
         out += [
-            _issue(ready & (start <= born), roles.start, "order", f"{roles.start} is on or before {roles.birth}"),
+            _issue(ready & (start <= born), roles.start, "order", f"by these dates {roles.start} does not come after {roles.birth}"),
             _issue(ready & (start > born) & ~age.between(low, high), roles.start, "age", F.concat(
-                F.lit("age at joining works out to "), F.format_string("%.0f", age), F.lit(f" years, outside {low}-{high}"))),
-            _issue(ready & (end < start), roles.end, "order", f"{roles.end} is before {roles.start}"),
+                F.lit("these dates make the person "), F.format_string("%.0f", age), F.lit(f" at the start; {low} to {high} is expected"))),
+            _issue(ready & (end < start), roles.end, "order", f"{roles.end} precedes {roles.start}"),
             _issue(ready & (strip(text_of(get(roles.status))) == roles.inactive) & end.isNull(), roles.status, "exit",
-                   f"{roles.status} is {roles.inactive} but no {roles.end} is set"),
+                   f"{roles.end} is missing although {roles.status} says {roles.inactive}"),
         ]
     return F.array_compact(F.array(*out))
 
@@ -188,7 +188,7 @@ def reference_answers(records: DataFrame, answers: DataFrame, pointer: str) -> D
     """Clear or reassign a pointer that leads nowhere; cut the answered cycle link."""
     parts = subject_parts(F.col("subject"), 2)
     about = (answers.where(parts(0) == "manager").groupBy(parts(1).alias("_to"))
-             .agg(F.first(F.struct("action", "value", "fields")).alias("_a")))
+             .agg(F.max_by(F.struct("action", "value", "fields"), F.struct("action", "value")).alias("_a")).where("_to <> ''"))
     given = F.lower(strip(text_of(F.try_element_at(F.col("_a.fields"), F.lit(pointer)))))
     new = (F.when(F.col("_a.value") == "clear", F.lit(""))
            .when((F.col("_a.action") == "edit") & (given != ""), given)

@@ -78,8 +78,8 @@ def unknown_values(fit: DataFrame, verdicts: DataFrame) -> DataFrame:
     open_ = (fit.where("canonical IS NULL")
              .join(verdicts.where("contradicted").select("file", "column", "field"), ["file", "column", "field"], "left_anti"))
     return open_.groupBy("field", "value").agg(
-        F.sum("n").alias("affected_rows"), F.max("score").alias("best_score"), F.first("best").alias("best"),
-        F.first("ranked").alias("ranked"), F.min_by(F.struct("file", "column"), "min_ord").alias("at"))
+        F.sum("n").alias("affected_rows"), F.max("score").alias("best_score"), F.min_by("best", "min_ord").alias("best"),
+        F.min_by("ranked", "min_ord").alias("ranked"), F.min_by(F.struct("file", "column"), "min_ord").alias("at"))
 
 
 def answered_word(field: str, lowered: Column, answers: dict[str, str]) -> Column:

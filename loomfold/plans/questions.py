@@ -78,15 +78,6 @@ def duplicate_questions(pairs: DataFrame) -> DataFrame:
                     {"date_of_birth": F.col("dob"), "similarity": F.round("similarity", 1)}, F.lit(2))
 
 
-UNLISTED = "identity:*"
-
-
-def unlisted_duplicates(spark: SparkSession, pairs: int) -> DataFrame:
-    """Stands for pairs that are counted but not listed."""
-    return question(spark.range(1), "duplicate_suspected", F.lit(UNLISTED), F.lit(f"{pairs} pairs may be the same person"), _const("separate"),
-                    {"pairs": F.lit(pairs)}, F.lit(pairs))
-
-
 def flood_questions(flood: DataFrame) -> DataFrame:
     """Q8: two files describing the same people are one question."""
     return question(flood.where("flood"), "batch_anomaly", F.col("subject"), F.concat("file_a", F.lit(" and "), "file_b", F.lit(" look like two exports of the same records")),

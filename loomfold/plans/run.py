@@ -55,51 +55,44 @@ def _any(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
+@dataclass
+class _Pairs:
+    """Open near-duplicate pairs: counted by arithmetic; listed only when someone reads them."""
+    n: int
+    partners: DataFrame       # (_rid, n_partners)
+    listed: DataFrame         # lazy
+
+
 def _near_duplicates(records: DataFrame, spec: SchemaSpec, policy: Policy, answers: DataFrame, rules: Mapping[str, str], roles: V.Roles):
-    """Questions, links, merge edges and the number of pairs only counted."""
+    """Questions about whole files, links, merge edges and the open pairs; answered pairs count nowhere."""
     named = cut(E.name_groups(records, roles.birth, "first_name", "last_name", spec.person_identifier))
     links = cut(E.near_name_links(named, policy))
-    counted = E.count_pairs(named, links)
-    total = counted.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).collect()[0][0]
-    if not total:
-        return [], [], None, 0
-    flood = cut(E.cross_file_flood(named, links, records, policy))
+    if not _any(links):
+        return [], [], None, None
+    told = cut(E.answered_pairs(named, links, answers))
+    flood = cut(E.cross_file_flood(named, links, records, policy, told))
     top = next(iter(flood.where("flood").collect()), None)              # at most one row
     said = rules.get(top["subject"]) if top else None
-    grouped = top is not None and said != "review"
+    apart = (top["file_a"], top["file_b"]) if top is not None and said != "review" else None
     questions, blocks, edges = [], [], None
-    if grouped and said is None:
+    if apart and said is None:
         questions.append(Q.flood_questions(flood))
-    if grouped and said == "merge_all":
-        edges = E.merge_all_edges(named, links, top["file_a"], top["file_b"], spec.names)
-        told = of_kind(answers, "identity").select("subject")
+        # every record of a linked name in one of the two files has a partner in the other
+        inside = named.where(F.col("file").isin(*apart)).join(
+            links.select("dob", "first", F.explode(F.array("value_a", "value_b")).alias("last")).distinct(), ["dob", "first", "last"], "left_semi")
+        blocks.append(inside.select(F.lit(top["subject"]).alias("subject"), "_rid"))
+    if apart and said == "merge_all":
+        edges = E.merge_all_edges(named, links, *apart, spec.names)
         keys = records.select("_rid", "key")
         pair = E.pair_subject("identity", F.col("a.key"), F.col("b.key"))
         named_edges = (edges.join(keys.alias("a"), F.col("member") == F.col("a._rid")).join(keys.alias("b"), F.col("winner") == F.col("b._rid"))
                        .select("member", "winner", pair.alias("subject")))
-        edges = named_edges.join(told, "subject", "left_anti").select("member", "winner")
-    left = total - (top["n_pairs"] if grouped else 0)
-    listed = left < policy.breaker_absolute or rules.get("batch:rate") == "continue"
-    if (left and listed) or (grouped and said is None):
-        pairs = E.list_pairs(named, links)
-        if grouped:
-            one_fact = F.array_sort(F.array("file_a", "file_b")) == F.array(F.lit(top["file_a"]), F.lit(top["file_b"]))
-            if said is None:
-                # every record of a linked name in one of the two files has a partner in the other
-                inside = named.where(F.col("file").isin(top["file_a"], top["file_b"])).join(
-                    links.select("dob", "first", F.explode(F.array("value_a", "value_b")).alias("last")).distinct(), ["dob", "first", "last"], "left_semi")
-                blocks.append(inside.select(F.lit(top["subject"]).alias("subject"), "_rid"))
-            pairs = pairs.where(~F.coalesce(one_fact, F.lit(False)))
-        if left and listed:
-            open_ = cut(pairs.join(answers.select("subject"), "subject", "left_anti"))
-            questions.append(Q.duplicate_questions(open_))
-            blocks.append(open_.select("subject", F.explode(F.array("rid_a", "rid_b")).alias("_rid")))
-    if left and not listed:
-        # too many to list: one row stands for them, every record involved is held,
-        # and the batch question (which this many pairs always raise) takes over
-        questions.append(Q.unlisted_duplicates(named.sparkSession, left))
-        blocks.append(E.near_duplicate_records(named, links).select(F.lit(Q.UNLISTED).alias("subject"), "_rid"))
-    return questions, blocks, edges, 0 if listed else max(left - 1, 0)
+        edges = named_edges.join(told.select("subject"), "subject", "left_anti").select("member", "winner")
+    partners = cut(E.near_duplicate_records(named, links, told, apart).select("_rid", "n_partners"))
+    n = partners.agg(F.coalesce(F.sum("n_partners"), F.lit(0))).collect()[0][0] // 2
+    pairs = E.list_pairs(named, links)
+    pairs = pairs.where(~E.between(*apart)) if apart else pairs
+    return questions, blocks, edges, _Pairs(n, partners, pairs.join(told.select("subject").distinct(), "subject", "left_anti")) if n else None
 
 
 def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run", policy: Policy = DEFAULT_POLICY, answers: DataFrame | None = None,
@@ -145,7 +138,7 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
         shared = E.shared_person_id(records, spec.person_identifier, code, roles.start).join(answers.select("subject"), "subject", "left_anti")
         early.append(Q.rehire_questions(shared))
         blocks.append(E.shared_person_refs(shared, records, spec.person_identifier).select("subject", "_rid"))
-    asked, held_by, edges, unlisted = _near_duplicates(records, spec, policy, answers, rules, roles)
+    asked, held_by, edges, pairs = _near_duplicates(records, spec, policy, answers, rules, roles)
     early += asked
     blocks += held_by
     merges = merges if edges is None else merges.unionByName(edges)
@@ -199,11 +192,15 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
     links = cut(union_all(blocks).distinct())
     everything = cut(union_all([q.select(*early[-1].columns) for q in early + late]))
     finished = validated.join(J.block_counts(links), "_rid", "left").fillna(0, ["n_blocks"])
-    refs = links.withColumnRenamed("_rid", "ref")
-    batch = J.batch_rate(everything, refs, finished.agg(F.count(F.lit(1)).alias("n")), policy)
-    if unlisted:
-        batch = batch.withColumn("questions", F.col("questions") + F.lit(unlisted)).withColumn(
-            "tripped", J.breaker_trips(F.col("blocked"), F.col("records"), F.col("questions"), policy))
+    refs, total = links.withColumnRenamed("_rid", "ref"), finished.agg(F.count(F.lit(1)).alias("n"))
+    if pairs:
+        finished = (finished.join(pairs.partners, "_rid", "left")
+                    .withColumn("n_blocks", F.col("n_blocks") + F.coalesce("n_partners", F.lit(0))).drop("n_partners"))
+        batch = J.batch_rate(everything, refs, total, policy, pairs.n, pairs.partners.select(F.col("_rid").alias("ref")))
+        links = links.unionByName(pairs.listed.select("subject", F.explode(F.array("rid_a", "rid_b")).alias("_rid")))
+        everything = everything.unionByName(Q.duplicate_questions(pairs.listed).select(*everything.columns), allowMissingColumns=True)
+    else:
+        batch = J.batch_rate(everything, refs, total, policy)
     batch = cut(batch)
     stopped = None
     open_questions = everything
@@ -233,7 +230,7 @@ def _audit(run_id, now, sources, rows, cleaned, rows_of, vf, records, members, v
         if m["transform"] == SPLIT:
             order = C.name_order(sources[m["file"]], m["column"])
             parts.append(audit_rows(order, run_id, now, "agent", F.lit("infer_name_order"), F.lit(f"column:{m['file']}:{m['column']}"), F.lit("ambiguous"),
-                                    F.col("order"), F.format_string("%d of %d sampled values hold a comma", "with_comma", "sampled"), "flagged")
+                                    F.col("order"), F.format_string("%d of %d values hold a comma", "with_comma", "sampled"), "flagged")
                          .withColumn("disposition", F.when(F.col("after") == "surname first", "auto").otherwise("flagged")))
     edits = C.canonical_edits(rows)
     parts.append(audit_rows(edits, run_id, now, "agent", F.lit("canonicalise_value"), F.col("_source"), F.col("before"), F.col("after"),

@@ -12,44 +12,29 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomfold.functions.dates import apply_convention, with_readings
-from loomfold.functions.text import col, normalise, norm_key, smart_title, split_name, text_of
+from loomfold.functions.text import col, norm_key
 from loomfold.lineage import scratch
+from loomfold.operators.clean import cleaned_rows
 from loomfold.operators.match import SPLIT
 from loomfold.operators.validate import ROLES, Roles, check
-from loomfold.operators.vocabulary import answered_word, known_word
 from loomfold.spec import DEFAULT_POLICY, Policy, SchemaSpec
 
 
 def cleaned_stream(stream: DataFrame, maps: Sequence[Mapping], spec: SchemaSpec, conventions: Mapping[str, str | None] | None = None,
-                   answers: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Accepted mappings applied to a stream; ``conventions`` by column."""
-    conventions, answers = dict(conventions or {}), dict(answers or {})
-    first, readings = {}, {}
-    for i, m in enumerate(maps):
-        target = spec.field(m["target_field"])
-        split = m.get("transform") == SPLIT
-        first[f"_n{i}"] = split_name(col(m["column"])) if split else normalise(col(m["column"]), target)
-        if target.type == "date" and not split:
-            readings[f"_d{i}"] = F.col(f"_n{i}")
-    staged = with_readings(stream.select(*keep, *[c.alias(n) for n, c in first.items()]), readings)
-    out = {}
-    for i, m in enumerate(maps):
-        target, value = spec.field(m["target_field"]), F.col(f"_n{i}")
-        if m.get("transform") == SPLIT:
-            out["first_name"], out["last_name"] = smart_title(value["first"]), smart_title(value["last"])
-        elif target.type == "date":
-            out[target.name] = F.coalesce(apply_convention(F.col(f"_d{i}"), conventions.get(m["column"]))["date"].cast("string"), F.lit(""))
-        elif target.type == "enum":
-            low = F.lower(value)
-            out[target.name] = F.coalesce(answered_word(target.name, low, answers), known_word(target, low), F.lit(""))
-        else:
-            out[target.name] = value
-    cols = []
-    for f in spec.fields:
-        value = out.get(f.name, F.lit(""))
-        cols.append((F.when(text_of(value) == "", F.lit(f.default)).otherwise(value) if f.default is not None else value).alias(f.name))
-    return staged.select(*keep, *cols)
+                   answers: Mapping[str, str] | None = None, keep: Sequence[str] = (), words: DataFrame | None = None,
+                   asking: Sequence[str] = (), contradicted: Sequence[str] = ()) -> DataFrame:
+    """Accepted mappings applied to a stream; ``conventions``, ``asking`` and ``contradicted`` by column.
+
+    The projection is the batch's own.  ``words`` (field, value, canonical) are the vocabulary words
+    a batch has decided, joined as a static table; what is still open about a row stays with it in
+    ``_waiting``, ``_questions``, ``_issues`` and ``_edits``.
+    """
+    placed = [{"transform": None, "file": "", **m} for m in maps]
+    at = {m["column"]: (m["file"], m["column"]) for m in placed}
+    fields = {m["target_field"] for m in placed if m["transform"] != SPLIT and spec.field(m["target_field"]).type == "enum"}
+    fuzzy = {f: words.where(F.col("field") == f).select("value", "canonical").distinct() for f in fields} if words is not None else {}
+    return cleaned_rows(stream, list(keep), placed, spec, {at[c]: v for c, v in (conventions or {}).items() if c in at},
+                        {at[c] for c in asking if c in at}, {at[c] for c in contradicted if c in at}, fuzzy, dict(answers or {}))
 
 
 def checked(stream: DataFrame, spec: SchemaSpec, policy: Policy = DEFAULT_POLICY, roles: Roles = ROLES) -> DataFrame:
@@ -57,11 +42,12 @@ def checked(stream: DataFrame, spec: SchemaSpec, policy: Policy = DEFAULT_POLICY
 
 
 def first_per_identifier(stream: DataFrame, identifiers: Sequence[str], event_time: str, delay: str) -> DataFrame:
-    """Drop repeats of the same identifiers that arrive within ``delay``."""
-    keyed = stream.withWatermark(event_time, delay)
-    for name in identifiers:
-        keyed = keyed.withColumn(f"_k_{name}", norm_key(col(name)))
-    return keyed.dropDuplicatesWithinWatermark([f"_k_{n}" for n in identifiers]).drop(*[f"_k_{n}" for n in identifiers])
+    """Drop repeats of the same identifiers that arrive within ``delay``; rows without any identifier all stay."""
+    keyed = stream.withWatermark(event_time, delay).withColumns({f"_k_{n}": norm_key(col(n)) for n in identifiers})
+    keys = [f"_k_{n}" for n in identifiers]
+    named = F.concat(*keys) != ""
+    once = keyed.where(named).dropDuplicatesWithinWatermark(keys)
+    return once.unionByName(keyed.where(~named)).drop(*keys)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

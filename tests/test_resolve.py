@@ -183,3 +183,9 @@ def test_heavy_keys_take_their_own_path_to_the_same_answer(spark, monkeypatch):
     monkeypatch.setattr(G, "HOT_SHARE", 20)
     assert {r["node"]: r["component"] for r in G.connected_components(df).collect()} == plain
     assert rid() == before
+
+
+def test_loops_of_merge_answers_keep_one_record(spark):
+    pairs = [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("f", "g"), ("g", "h"), ("h", "i"), ("i", "f"), ("x", "c"), ("p", "q"), ("q", "r"), ("p", "z")]
+    got = {r["member"]: r["winner"] for r in E.final_winners(spark.createDataFrame(pairs, "member string, winner string")).collect()}
+    assert got == {"b": "a", "d": "c", "e": "c", "x": "c", "g": "f", "h": "f", "i": "f", "p": "r", "q": "r"}

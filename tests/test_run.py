@@ -1,8 +1,5 @@
 """End to end on small tables of the shapes real exports have."""
 
-import os
-
-import pytest
 from pyspark.sql import functions as F
 
 from loomfold.operators.answers import answers_frame
@@ -10,8 +7,6 @@ from loomfold.plans.run import run
 from loomfold.sources.tables import load_sources
 from loomfold.specs.employee import EMPLOYEE
 
-slow = pytest.mark.skipif(not os.environ.get("LOOMFOLD_ALL"), reason="whole analyses; set LOOMFOLD_ALL=1")
-
 FIRST = ["Aarav", "Diya", "Rohan", "Ananya", "Karan", "Priya", "Arjun", "Sneha", "Rahul", "Meera", "Vikram", "Nisha"]
 LAST = ["Sharma", "Patel", "Mehta", "Iyer", "Reddy", "Gupta", "Rao", "Kapoor", "Desai", "Nair", "Joshi", "Menon"]
 DEPT = ["Engineering", "Sales", "Marketing", "Finance"]
@@ -39,7 +34,6 @@ def subjects(result):
     return {r["subject"] for r in result.questions.collect()}
 
 
-@slow
 def test_clean_data_is_not_interrogated(spark, tmp_path):
     result = analyse(spark, [write(tmp_path, "clean.csv", [person(i) for i in range(12)])])
     got = result.summary().collect()[0]
@@ -82,7 +76,6 @@ def test_two_files_with_different_identifiers(spark, tmp_path):
     assert {"infer_date_convention", "infer_name_order", "merge_duplicate"} <= actions
 
 
-@slow
 def test_an_ambiguous_date_column_is_one_question(spark, tmp_path):
     path = write(tmp_path, "d.csv", [person(i, date_of_joining=f"0{1 + i % 9}/0{1 + i % 8}/2015") for i in range(12)])
     first = analyse(spark, [path])
@@ -91,14 +84,12 @@ def test_an_ambiguous_date_column_is_one_question(spark, tmp_path):
     assert subjects(again) == set() and again.records.where("date_of_joining = '2015-01-02'").count() == 1
 
 
-@slow
 def test_a_wrong_file_is_refused_once(spark, tmp_path):
     assets = [{"asset_tag": f"AST-{i}", "model": "X1", "serial_no": f"SN{i}", "warranty_months": "36", "condition": ["New", "Good", "Fair"][i % 3]} for i in range(12)]
     result = analyse(spark, [write(tmp_path, "assets.csv", assets)])
     assert subjects(result) == {"batch:coverage"} and result.stopped == "batch:coverage"
 
 
-@slow
 def test_a_missing_column_is_one_question(spark, tmp_path):
     people = [{k: v for k, v in person(i).items() if k != "work_email"} for i in range(12)]
     path = write(tmp_path, "n.csv", people)
@@ -107,7 +98,6 @@ def test_a_missing_column_is_one_question(spark, tmp_path):
     assert subjects(free) == set() and free.audit.where("action = 'relax_required_field'").count() == 1
 
 
-@slow
 def test_a_flood_stops_the_run_without_listing_it(spark, tmp_path):
     path = write(tmp_path, "flood.csv", [person(i, first_name="Asha", last_name="Rao", date_of_birth="1990-01-01") for i in range(30)])
     result = analyse(spark, [path])

@@ -21,3 +21,23 @@ def test_repeats_within_the_delay_are_dropped(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     assert drain(first_per_identifier(stream, ["code"], "ts", "1 hour"), "u").count() == 2
+
+
+def test_stream_and_batch_accept_the_same_words(spark, tmp_path):
+    rows = [("E1", "Human Resource", "15/03/2021"), ("E2", "Zebra", "03/04/2021"), ("E3", "", "31/02/2021")]
+    schema = "code string, dept string, doj string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    words = spark.createDataFrame([("department", "human resource", "Human Resources")], "field string, value string, canonical string")
+    maps = [dict(column="code", target_field="employee_code"), dict(column="dept", target_field="department"), dict(column="doj", target_field="date_of_joining")]
+    out = {r["employee_code"]: r for r in drain(cleaned_stream(stream, maps, EMPLOYEE, {"doj": "DMY"}, words=words), "w").collect()}
+    assert out["E1"]["department"] == "Human Resources" and out["E1"]["_edits"][0]["before"] == "Human Resource"
+    assert out["E2"]["department"] == "" and out["E2"]["_questions"] == ["enum:department:zebra"] and out["E2"]["_waiting"] == ["department"]
+    assert out["E3"]["date_of_joining"] == "" and "31/02/2021" in out["E3"]["_issues"][0] and out["E3"]["_questions"] == []
+
+
+def test_rows_without_identifiers_all_stay(spark, tmp_path):
+    df = spark.createDataFrame([("A", "x", 1), ("", "y", 2), (None, "z", 3), ("a", "w", 4)], "code string, v string, n int").withColumn("ts", F.timestamp_seconds(F.col("n")))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    assert {r["v"] for r in drain(first_per_identifier(stream, ["code"], "ts", "1 hour"), "b").collect()} == {"x", "y", "z"}

@@ -180,18 +180,25 @@ def weighted_scores(spark, sf):
 
 # -- J10, J16 ----------------------------------------------------------------
 
-@query(f"""WITH {ctes('exports')}, h AS (SELECT *, _ord - _ord % 6 AS root FROM exports WHERE _file = 'hris.csv'),
+@query(f"""WITH {ctes('exports')}, h AS (SELECT *, min(_ord) OVER (PARTITION BY _ord - _ord % 1000000000000 % 12) AS root FROM exports),
   r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY _ord) AS k FROM h)
   SELECT root, {_BEST}, count(*) AS n_sources FROM r GROUP BY root""")
 def apply_merges(spark, sf):
-    """Merge answers with chains, resolved before anything is absorbed."""
-    rows = derive(spark, sf, "exports").where("_file = 'hris.csv'")
-    records = rows.select(*_FIELDS, F.concat(F.lit("r"), F.lpad(F.col("_ord").cast("string"), 12, "0")).alias("_rid"), F.col("_ord").alias("_seq"), F.col("_source").alias("first_source"),
+    """Merge answers with chains and with loops of two, three and four records, resolved before anything is absorbed."""
+    rows = derive(spark, sf, "exports")
+    records = rows.select(*_FIELDS, F.concat(F.lit("r"), F.lpad(F.col("_ord").cast("string"), 16, "0")).alias("_rid"), F.col("_ord").alias("_seq"), F.col("_source").alias("first_source"),
                           F.lit(1).cast("long").alias("n_sources"), F.col("_source").alias("key"), F.col("_file").alias("file"), F.lit(None).cast("string").alias("basis"))
-    rid = lambda c: F.concat(F.lit("r"), F.lpad(c.cast("string"), 12, "0"))           # noqa: E731
+    rid = lambda c: F.concat(F.lit("r"), F.lpad(c.cast("string"), 16, "0"))           # noqa: E731
     o = F.col("_seq")
-    merges = records.where("_seq % 3 <> 0").select(rid(o).alias("member"), rid(o - o % 3).alias("winner")).unionByName(
-        records.where("_seq % 6 = 3").select(rid(o).alias("member"), rid(o - 3).alias("winner")))
+    # groups of twelve rows: by turns a chain, a star of chains, and loops of 2, 3 and 4 with tails
+    group = o - o % 1000000000000 % 12
+    placed = records.select(o.alias("o"), group.alias("group"), (group / 12 % 5).cast("int").alias("shape"),
+                            (F.row_number().over(Window.partitionBy(group).orderBy(o)) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("size"))
+    k, loop = F.col("k"), F.least(F.col("size"), F.when(F.col("shape") >= 2, F.col("shape")).otherwise(1))
+    star = F.when(k % 3 == 0, k - 3).otherwise(k - k % 3)
+    there = F.when(F.col("shape") == 1, star).when(k < loop, (k + 1) % loop).otherwise(k - 1)
+    sent = placed.where((k > 0) | (loop > 1)).select("group", F.col("o").alias("from"), there.alias("k"))
+    merges = sent.join(placed.select("group", "k", F.col("o").alias("to")), ["group", "k"]).select(rid(F.col("from")).alias("member"), rid(F.col("to")).alias("winner"))
     members = rows.select(rid(F.col("_ord")).alias("_rid"), "_source")
     merged, _ = E.apply_merges(records, members, merges, PARTY)
     return merged.select(F.col("_seq").alias("root"), *_FIELDS, "n_sources")
