@@ -27,7 +27,7 @@ class ToxicRules:
     """
     sample: int = 2000
     window: int = 32
-    stride: int = 16
+    stride: int = 24
     hidden: int = 8
     word_dims: int = 8
     char_dims: int = 8
