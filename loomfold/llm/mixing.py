@@ -28,7 +28,7 @@ class MixRules:
     weights: tuple[int, ...] = (5, 2, 1)
     most: int = 3
     seed: str = "mix-1"
-    range_rows: int = 50_000
+    range_rows: int = 2_000
 
 
 def word_count(text: Column) -> Column:
