@@ -25,7 +25,7 @@ class ToxicRules:
 
     ``window``/``stride`` in words; ``folds``: the share of ids kept from training.
     """
-    sample: int = 2000
+    sample: int = 1500
     window: int = 32
     stride: int = 24
     hidden: int = 8
@@ -167,7 +167,8 @@ def fit_network(texts: list[bytes], labels: np.ndarray, rules: ToxicRules) -> tu
     A word's first dimension starts as its log odds over the sample's texts.
     """
     rng = np.random.default_rng(rules.seed)
-    split = [words_of(t) for t in texts]
+    one: dict[bytes, bytes] = {}                                               # a word's occurrences share one object
+    split = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     docs = [Counter(), Counter()]
     for words, y in zip(split, labels):
         docs[y].update(set(words))
@@ -193,7 +194,8 @@ def fit_network(texts: list[bytes], labels: np.ndarray, rules: ToxicRules) -> tu
             doc.append(k)
     if not at:
         return net, number
-    at, mask, doc = np.array(at).T, np.array(mask).T, np.array(doc)
+    at, mask, doc = np.array(at, np.int32).T, np.array(mask).T, np.array(doc)
+    del split, one
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
     target = np.asarray(labels, np.float32)[doc]
 
@@ -211,7 +213,7 @@ def fit_network(texts: list[bytes], labels: np.ndarray, rules: ToxicRules) -> tu
     for epoch in range(rules.epochs):
         if epoch:
             table = net.project(inputs(None))
-            score = np.concatenate([net.logits(table, at[:, a:a + 8192], mask[:, a:a + 8192]) for a in range(0, at.shape[1], 8192)])
+            score = np.concatenate([net.logits(table, at[:, a:a + 2048], mask[:, a:a + 2048]) for a in range(0, at.shape[1], 2048)])
         chosen = worst(score)
         extra = rng.integers(0, at.shape[1], len(chosen))
         chosen = np.concatenate([chosen, extra[target[extra] == 0]])
