@@ -120,7 +120,7 @@ _NAMED = f"""{ctes('named')}, n AS (SELECT _rid, key, _seq, file, trim(lower(dat
   l AS (SELECT a.dob, a."first", a."last" AS value_a, b."last" AS value_b, CASE WHEN s >= 92 THEN s END AS similarity FROM g a JOIN g b ON a.dob = b.dob AND a."first" = b."first" AND a."last" < b."last"
       JOIN sims ON sims.x = a."last" AND sims.y = b."last" WHERE s >= 92 OR abbr
     UNION ALL SELECT dob, "first", "last", "last", 100.0 FROM g WHERE n > 1),
-  pairs AS (SELECT l.dob, l."first", l.value_a, l.value_b, l.similarity, a._rid AS rid_a, b._rid AS rid_b, a.file AS fa, b.file AS fb FROM l
+  pairs AS (SELECT l.dob, l."first", l.value_a, l.value_b, l.similarity, a._rid AS rid_a, b._rid AS rid_b, a.file AS fa, b.file AS fb, a._seq + b._seq AS seqs FROM l
     JOIN n a ON a.dob = l.dob AND a."first" = l."first" AND a."last" = l.value_a JOIN n b ON b.dob = l.dob AND b."first" = l."first" AND b."last" = l.value_b
     WHERE (l.value_a <> l.value_b OR a._seq < b._seq) AND (a.pan = '' OR a.pan <> b.pan))"""
 
@@ -145,6 +145,22 @@ def near_duplicate_records(spark, sf):
     return E.near_duplicate_records(named, links).select(F.col("_rid").alias("record"), "n_partners")
 
 
+@query(f"""WITH {_NAMED}, top AS (SELECT least(fa, fb) AS x, greatest(fa, fb) AS y FROM pairs WHERE fa <> fb AND seqs % 3 <> 0 GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1),
+  o AS (SELECT 'open' AS scope, rid_a, rid_b FROM pairs WHERE seqs % 3 <> 0
+    UNION ALL SELECT 'apart', rid_a, rid_b FROM pairs, top WHERE seqs % 3 <> 0 AND NOT coalesce(fa <> fb AND fa IN (x, y) AND fb IN (x, y), false)),
+  e AS (SELECT scope, rid_a AS r FROM o UNION ALL SELECT scope, rid_b FROM o) SELECT scope, r AS record, count(*) AS n_partners FROM e GROUP BY scope, r""")
+def open_partners(spark, sf):
+    """What is left per record once a third of the pairs is answered, and once two files are one question besides."""
+    _, named, links = _named(spark, sf)
+    seqs = F.col("seq_a") + F.col("seq_b")
+    answers = E.list_pairs(named, links).where(seqs % 3 == 0).select("subject", F.lit("value").alias("action"), F.lit("separate").alias("value"))
+    told = cut(E.answered_pairs(named, links, answers))
+    top = E.pairs_by_files(named, links, told).orderBy(F.desc("n_pairs"), "file_a", "file_b").limit(1).collect()
+    apart = (top[0]["file_a"], top[0]["file_b"]) if top else None
+    one = lambda scope, a: E.near_duplicate_records(named, links, told, a).select(F.lit(scope).alias("scope"), F.col("_rid").alias("record"), "n_partners")
+    return one("open", None).unionByName(one("apart", apart)) if apart else one("open", None)
+
+
 @query(f"WITH {_NAMED} SELECT least(fa, fb) AS file_a, greatest(fa, fb) AS file_b, count(*) AS n_pairs FROM pairs WHERE fa <> fb GROUP BY 1, 2")
 def pairs_by_files(spark, sf):
     """A13's counts."""
