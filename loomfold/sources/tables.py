@@ -25,8 +25,15 @@ def source_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def _reader(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line of a CSV holds an odd number of quotes: a value then runs over its end."""
+    lines = spark.read.text(path)
+    return bool(lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count())
+
+
+def _reader(spark: SparkSession, path: str, fmt: str, multi_line: bool | None) -> DataFrame:
     if fmt == "csv":
+        multi_line = _breaks_in_quotes(spark, path) if multi_line is None else multi_line
         return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line,
                               ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if fmt == "json":
@@ -78,7 +85,7 @@ def as_text(df: DataFrame, file: str) -> DataFrame:
 
 
 def load_source(spark: SparkSession, path: str, name: str | None = None, fmt: str | None = None,
-                multi_line: bool = False) -> DataFrame:
+                multi_line: bool | None = None) -> DataFrame:
     """One source file, or a folder of part files with one layout."""
     file = name or os.path.basename(path.rstrip("/"))
     fmt = fmt or _SUFFIXES.get(os.path.splitext(file)[1].lower())

@@ -19,6 +19,12 @@ def test_bom_zero_padding_quotes_and_header_blanks(spark, tmp_path):
         ('Brown, "Mia"', "01960", "bom.csv#2"), ("", "02148", "bom.csv#3")]
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('Name,Note\n"Rao, A","first\nsecond ""line"""\nB,plain\n')
+    rows = load_source(spark, str(tmp_path / "b.csv")).orderBy("_pos").select("Name", "Note", "_source").collect()
+    assert [tuple(r) for r in rows] == [("Rao, A", 'first\nsecond "line"', "b.csv#2"), ("B", "plain", "b.csv#3")]
+
+
 def test_rows_are_numbered_across_splits(spark, tmp_path):
     spark.range(3000).select(F.col("id").cast("string").alias("n"), F.repeat(F.lit("x"), 50).alias("pad")).coalesce(1).write.option("header", True).option(
         "maxRecordsPerFile", 700).csv(str(tmp_path / "big.csv"))
