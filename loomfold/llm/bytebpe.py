@@ -190,7 +190,7 @@ def _lay_out(kept: list[str], schema: StructType):
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, run_bytes: int = 16 << 20, ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, run_bytes: int = 6 << 20, ids: str = "ids") -> DataFrame:
     """The columns in ``keep`` (all by default) and ``ids``, array<int>, for every row.
 
     ``path``: a rank file (base64 and rank a line).  ``run_bytes``: bytes of text whose distinct
