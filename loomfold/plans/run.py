@@ -151,6 +151,11 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
             E.final_winners(merges).withColumnRenamed("member", "_rid"), "_rid").join(records.select(F.col("_rid").alias("winner"), "key"), "winner")
         parts.append(audit_rows(gone, run_id, now, "human", F.lit("merge_records"), F.col("key"), F.col("absorbed"), F.col("key"), F.lit("merged on an answer")))
 
+    kind = kind_of(F.col("subject"))
+    resolved = of_kind(answers, "identity", "rehire", "identity-batch").where("value IS NOT NULL")
+    parts.append(audit_rows(resolved, run_id, now, "human", F.when(kind == "rehire", "resolve_rehire").when(kind == "identity", "resolve_duplicate").otherwise("resolve_duplicate_batch"),
+                            F.col("subject"), F.lit("open"), F.col("value"), F.lit("answered in review")))
+
     # what is already under question, dataset-wide and per record
     pending = {r["field"] for r in pending_fields(mappings, policy).collect()} | {f for fs in cleaned.blocked.values() for f in fs}
     waits = members.select("_rid", F.explode("_waiting").alias("f")).groupBy("_rid").agg(F.array_sort(F.collect_set("f")).alias("waiting"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
@@ -22,7 +24,16 @@ class RunStore:
         return f"{self.base}/{table}" + (f"/run_id={run_id}" if run_id else "")
 
     def replace(self, table: str, run_id: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._path(table, run_id))
+        """Write beside, then switch: a write that fails leaves the old rows."""
+        jvm, old = self.spark._jvm, self._path(table, run_id)
+        beside = f"{self.base}/.{table}-{uuid.uuid4().hex}"
+        df.write.parquet(beside)
+        there, new = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(beside)
+        fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(there.getParent())
+        fs.delete(there, True)
+        if not fs.rename(new, there):
+            raise OSError(f"{old} could not be replaced; its rows are in {beside}")
 
     def append(self, table: str, run_id: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self._path(table, run_id))

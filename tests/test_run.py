@@ -63,6 +63,8 @@ def test_every_planted_defect_is_one_question_and_answers_drain_the_queue(spark,
     rows = {r["key"]: r for r in done.records.collect()}
     assert subjects(done) == set() and len(rows) == 11 and all(not r["issues"] and r["n_blocks"] == 0 for r in rows.values())
     assert rows["T1001"]["department"] == "Engineering" and rows["T1009"]["n_sources"] == 2 and rows["T1006"]["manager_email"] == ""
+    trail = {(r["action"], r["entity"], r["after"]) for r in done.audit.collect()}
+    assert {("resolve_rehire", "rehire:T1007|T1008", "separate"), ("resolve_duplicate", "identity:T1009|T1010", "merge:T1009")} <= trail
 
 
 def test_two_files_with_different_identifiers(spark, tmp_path):
