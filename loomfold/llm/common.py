@@ -36,20 +36,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], keep: list[str] = ()) -> DataFrame:
+def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], keep: list[str] = (), rows: int = 1024) -> DataFrame:
     """Kept columns plus those that ``make()(batch)`` returns, batch by batch through Arrow.
 
-    ``make`` runs once per task; rows keep their order and number.
+    ``make`` runs once per task; rows keep their order and number.  ``rows`` are worked on at once,
+    which bounds what a task holds besides Arrow's own batch.
     """
     schema = StructType([df.schema[c] for c in keep] + StructType.fromDDL(ddl).fields)
     kept = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, step = to_arrow_schema(schema), None
-        for batch in batches:
+        for whole in batches:
             step = step or make()
-            columns = {c: batch.column(c) for c in kept} | step(batch)
-            yield pa.RecordBatch.from_arrays([_cast(columns[f.name], f.type) for f in arrow], schema=arrow)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                columns = {c: batch.column(c) for c in kept} | step(batch)
+                yield pa.RecordBatch.from_arrays([_cast(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

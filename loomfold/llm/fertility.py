@@ -58,7 +58,7 @@ def _encoders(ranks: str, pieces: str):
 class _Words(dict):
     """Numbers of the words met, with their measures; emptied when it grows past its bounds."""
 
-    def __init__(self, rules: FertilityRules, most: int = 300_000, most_bytes: int = 32 << 20):
+    def __init__(self, rules: FertilityRules, most: int = 150_000, most_bytes: int = 16 << 20):
         super().__init__()
         self.rules, self.most, self.most_bytes = rules, most, most_bytes
         self.reset()
@@ -175,7 +175,7 @@ def _measurer(rules: FertilityRules):
         def step(batch):
             texts = batch.column("_bytes").to_pylist()
             rows = []
-            for a, b in runs_of_bytes(texts, 2 << 20):
+            for a, b in runs_of_bytes(texts, 1 << 20):
                 split = [t.split() for t in texts[a:b]]
                 every = set().union(*split)
                 new = [w for w in every if w not in known]
