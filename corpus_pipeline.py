@@ -12,22 +12,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomfold.lineage import keep
 from loomfold.llm import bytebpe, fertility, mixing, neardup, secrets
+from loomfold.llm.common import bounded_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fertility rules; the others go."""
+    bounded_batches(spark, 1024)
     return fertility.accepted(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group: shingles of five words, similarity 0.8 or more."""
+    bounded_batches(spark, 1024)
     return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mark, ``n_chars`` of what is left."""
+    bounded_batches(spark, 1024)
     clean = secrets.redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -39,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number and digest of ids, digest of the decoded bytes, for every row."""
+    bounded_batches(spark, 2048)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = F.col("ids")
     return bytebpe.encode(docs.select("doc_id", "text"), path, keep=["doc_id"]).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded_batches(spark: SparkSession, rows: int) -> None:
+    """Send Python at most ``rows`` rows at once, from now on in this session: bounds the buffers on both sides.  For applications, not operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], keep: list[str] = (), rows: int = 1024) -> DataFrame:
     """Kept columns plus those that ``make()(batch)`` returns, batch by batch through Arrow.
 

@@ -58,7 +58,7 @@ def _encoders(ranks: str, pieces: str):
 class _Words(dict):
     """Numbers of the words met, with their measures; emptied when it grows past its bounds."""
 
-    def __init__(self, rules: FertilityRules, most: int = 150_000, most_bytes: int = 16 << 20):
+    def __init__(self, rules: FertilityRules, most: int = 220_000, most_bytes: int = 16 << 20):
         super().__init__()
         self.rules, self.most, self.most_bytes = rules, most, most_bytes
         self.reset()

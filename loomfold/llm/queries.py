@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomfold.llm import bytebpe, fertility, htmltext, logbilinear, mixing, neardup, secrets, topk, toxicity, urlrules
-from loomfold.llm.common import held_out
+from loomfold.llm.common import bounded_batches, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,7 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes decoded from them."""
+    bounded_batches(spark, 2048)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("ids")
