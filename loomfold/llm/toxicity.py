@@ -23,11 +23,12 @@ from loomfold.llm.common import as_bytes, free_name, held_out, map_columns, runs
 class ToxicRules:
     """``sample``: labelled documents taken of each class, the bound of what is fitted on.
 
-    ``window``/``stride`` in words; ``folds``: the share of ids kept from training.
+    ``window``/``stride`` in words: passages of up to ``window - stride + 1`` words lie whole in a
+    window wherever they stand.  ``folds``: the share of ids kept from training.
     """
     sample: int = 1500
     window: int = 32
-    stride: int = 24
+    stride: int = 8
     hidden: int = 8
     word_dims: int = 8
     char_dims: int = 8
@@ -51,6 +52,21 @@ def trigrams(word: bytes, buckets: int) -> list[int]:
     return [zlib.crc32(marked[i:i + 3]) % buckets for i in range(max(1, len(marked) - 2))]
 
 
+#: CRC-32's table of steps by a byte.
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
+
+def all_trigrams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``trigrams`` of all words (none empty), one after the other, and how many each has."""
+    marked = np.frombuffer(b"".join([b"^" + w + b"$" for w in words]), np.uint8)
+    lens = np.fromiter(map(len, words), np.int64, len(words))                  # n letters and two marks: n trigrams
+    first = np.arange(lens.sum()) + np.repeat(2 * np.arange(len(words)), lens)
+    crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+    for i in range(3):
+        crc = _CRC[(crc ^ marked[first + i]) & 0xFF] ^ (crc >> np.uint32(8))
+    return (~crc % np.uint32(buckets)).astype(np.int64), lens
+
+
 def windows_of(n: int, rules: ToxicRules) -> np.ndarray:
     """First words of the windows: overlapping, the last one ending with the text."""
     last = max(0, n - rules.window)
@@ -156,8 +172,9 @@ class Model:
         r, p = self.network.rules, self.network.p
         out = np.empty((len(words), r.word_dims + r.char_dims), np.float32)
         out[:, :r.word_dims] = p["words"][[self.words.get(w, 0) for w in words]]
-        for i, w in enumerate(words):
-            out[i, r.word_dims:] = p["chars"][trigrams(w, r.char_buckets)].mean(0)
+        if words:
+            grams, lens = all_trigrams(words, r.char_buckets)
+            out[:, r.word_dims:] = np.add.reduceat(p["chars"][grams], np.cumsum(lens) - lens, axis=0) / lens[:, None]
         return out
 
 
@@ -181,20 +198,20 @@ def fit_network(texts: list[bytes], labels: np.ndarray, rules: ToxicRules) -> tu
     every = sorted({w for words in split for w in words})
     own = {w: i + 1 for i, w in enumerate(every)}                              # 0: no word
     word_no = np.array([0] + [number.get(w, 0) for w in every])
-    grams = [trigrams(w, rules.char_buckets) for w in every]
-    lens = np.array([1] + [len(g) for g in grams])
-    flat, first = np.array([0] + [x for g in grams for x in g]), np.concatenate([[0], np.cumsum(lens)[:-1]])
-    at, mask, doc = [], [], []
+    grams, lens = all_trigrams(every, rules.char_buckets)
+    flat, lens = np.concatenate([[0], grams]), np.concatenate([[1], lens])
+    first = np.cumsum(lens) - lens
+    at, doc = [], []
     for k, words in enumerate(split):
-        ids = np.array([own[w] for w in words], np.int64)
-        for s in windows_of(len(words), rules) if len(words) else []:
-            part = ids[s:s + rules.window]
-            at.append(np.pad(part, (0, rules.window - len(part))))
-            mask.append(np.arange(rules.window) < len(part))
-            doc.append(k)
+        if words:
+            ids = np.array([own[w] for w in words] + [0] * (rules.window - len(words)), np.int32)
+            starts = windows_of(len(words), rules)
+            at.append(ids[starts[:, None] + np.arange(rules.window)])
+            doc.append(np.full(len(starts), k))
     if not at:
         return net, number
-    at, mask, doc = np.array(at, np.int32).T, np.array(mask).T, np.array(doc)
+    at, doc = np.concatenate(at).T, np.concatenate(doc)
+    mask = at > 0
     del split, one
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
     target = np.asarray(labels, np.float32)[doc]
@@ -209,7 +226,8 @@ def fit_network(texts: list[bytes], labels: np.ndarray, rules: ToxicRules) -> tu
     def worst(score):
         order = np.lexsort((-score, doc))
         return order[starts]
-    score = (net.p["words"][:, 0][word_no][at] * mask).max(0)
+    odds = net.p["words"][:, 0][word_no]
+    score = np.concatenate([(odds[at[:, a:a + 2048]] * mask[:, a:a + 2048]).max(0) for a in range(0, at.shape[1], 2048)])
     for epoch in range(rules.epochs):
         if epoch:
             table = net.project(inputs(None))

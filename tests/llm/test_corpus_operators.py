@@ -216,6 +216,27 @@ def test_windows_cover_whole_texts():
         assert seen == set(range(n))
 
 
+def test_trigrams_of_many_words():
+    some = [b"a", b"the", "wörd".encode(), b"^$", bytes(range(1, 9)), b"\xff" * 40] + [str(i).encode() for i in range(300)]
+    grams, lens = toxicity.all_trigrams(some, 4096)
+    assert grams.tolist() == [g for w in some for g in toxicity.trigrams(w, 4096)] and lens.tolist() == [len(toxicity.trigrams(w, 4096)) for w in some]
+
+
+def test_a_passage_lies_whole_in_a_window_at_every_offset():
+    rules = toxicity.ToxicRules()
+    for long in (17, rules.window - rules.stride + 1):                          # with neighbours 24 apart only 9 words were sure
+        for at in range(400 - long + 1):
+            assert any(s <= at and at + long <= s + rules.window for s in toxicity.windows_of(400, rules)), (long, at)
+    rng = random.Random(5)
+    clean, foul = [f"plain{i}".encode() for i in range(60)], [f"vile{i}".encode() for i in range(17)]
+    prose = lambda n: [rng.choice(clean) for _ in range(n)]
+    texts = [b" ".join(prose(40) + (foul if i % 2 else []) + prose(60)) for i in range(200)]
+    net, words = toxicity.fit_network(texts, np.arange(200) % 2, rules)
+    table, body = toxicity._Table(toxicity.Model(net, words, 0.0)), prose(200)
+    scores = toxicity.score_texts([b" ".join(body)] + [b" ".join(body[:i] + foul + body[i:]) for i in range(201)], table, rules)
+    assert scores[0] < 0 < scores[1:].min()
+
+
 def test_toxicity_held_out(spark, odd, empty, clashing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rules = toxicity.ToxicRules(sample=600, epochs=4)
