@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.llm.common import as_bytes, free_name, map_columns
@@ -38,7 +39,6 @@ class SecretRules:
     hex_chars: int = 24
     literal_chars: int = 8
     least: float = 4.0
-    hops: int = 8
     names: dict = field(default_factory=lambda: {
         "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "credential": 3.0, "credentials": 3.0, "apikey": 3.0,
         "token": 2.5, "bearer": 2.0, "auth": 2.0, "private": 1.5, "access": 1.0, "api": 1.0, "key": 1.5, "signing": 1.0, "encryption": 1.0, "client": 0.5})
@@ -67,7 +67,7 @@ def base_spans(text: bytes, rules: SecretRules) -> list[tuple[int, int, int]]:
 
 _NAME = rb"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*"
 #: ``name [: type] op``, where the name may be quoted or an element of a table (``x["name"]``).
-_TARGET = re.compile(rb"""["']?(""" + _NAME + rb""")["']?\]?[ \t]{0,8}(?::[ \t]{0,4}[A-Za-z_][\w.\[\]<>]{0,40}[ \t]{0,4}(?==[^=>])|)(:=|=>|=(?!=)|:(?!:|//))[ \t]{0,8}""")
+_TARGET = re.compile(rb"""["']?(""" + _NAME + rb""")["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]<>]*+[ \t]*+(?==[^=>])|)(:=|=>|=(?!=)|:(?!:|//))[ \t]*+""")
 _PART = re.compile(rb"""(?:[rbfuRBFU]{0,2})(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|\$\{?(""" + _NAME + rb""")\}?|(""" + _NAME + rb""")(?![\w(\[])|([A-Za-z0-9+/_.=~!@%^&*-]+)""")
 _JOIN = re.compile(rb"""[ \t]*(?:\+|\.\.|\.|[ \t](?=["']))[ \t]*""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -84,7 +84,7 @@ def literal_weight(value: bytes, rules: SecretRules) -> float:
     """What a literal's own letters say: mixed classes and high entropy speak for a secret, spaces and stand-ins against."""
     if len(value) < rules.literal_chars or _STAND_INS.match(value) or any(c in value for c in b" \t") or b"://" in value:
         return -math.inf
-    counts = Counter(value).values()
+    counts = Counter(value).values() if len(value) <= 4096 else [n for n in np.bincount(np.frombuffer(value, np.uint8)).tolist() if n]
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
     classes = sum(bool(re.search(p, value)) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
     return (0.5 if classes >= 2 else -0.5) + (0.5 if classes >= 3 else 0.0) + (1.0 if entropy >= 3.0 else 0.0 if entropy >= 2.5 else -1.0)
@@ -115,27 +115,91 @@ def lexed_pairs(text: bytes) -> list[tuple[str, list]]:
     return pairs
 
 
+def _resolved(pairs: list[tuple[str, list]]) -> list[tuple[list[list], list[bool]]]:
+    """What each pair is made of: spans, and numbers of the pairs that its names stand for.
+
+    A name stands for its last value before.  Where there is none, it is a bare word in the first
+    reading and its next value after in the second, which comes with the pairs that it changes.
+    """
+    known, missing, first = {}, [], []
+    for i, (name, parts) in enumerate(pairs):
+        made = []
+        for part in parts:
+            if part[0] == "text":
+                made.append(part[1:])
+            elif part[1] in known:
+                made.append(known[part[1]])
+            else:
+                missing.append((i, len(made), part[1]))
+                made.append(part[2:] if len(parts) == 1 else None)            # a bare word of a configuration file
+        first.append([x for x in made if x is not None])
+        if first[i]:
+            known[name] = i
+    after, later, at = {}, {}, len(pairs)
+    for i, k, name in reversed(missing):
+        while at > i + 1:
+            at -= 1
+            after[pairs[at][0]] = at
+        if name in after and name != pairs[i][0]:
+            later[i, k] = after[name]
+    if not later:
+        return [(first, [])]
+    known, second, changed = {}, [], []
+    for i, (name, parts) in enumerate(pairs):
+        made = []
+        for k, part in enumerate(parts):
+            if part[0] == "text":
+                made.append(part[1:])
+            elif part[1] in known:
+                made.append(known[part[1]])
+            elif (i, k) in later:
+                made.append(later[i, k])
+            elif len(parts) == 1:
+                made.append(part[2:])
+        second.append(made)
+        changed.append(any((i, k) in later for k in range(len(parts))) or any(changed[x] for x in made if isinstance(x, int) and x < i) or made != first[i])
+        if made:
+            known[name] = i
+    return [(first, []), (second, changed)]
+
+
+def _reached(some: list[int], made: list[list]) -> list[tuple[int, int]]:
+    """The different spans that pairs are made of, in order; each pair on the way is opened once."""
+    spans, seen, todo = {}, set(), some[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            spans[x] = None
+        elif x not in seen:
+            seen.add(x)
+            todo += reversed(made[x])
+    return list(spans)
+
+
 def literal_spans(text: bytes, rules: SecretRules) -> list[tuple[int, int, int]]:
     """Literals that reach a sensitive name, directly or through constants (byte offsets)."""
     if b"=" not in text and b":" not in text:
         return []
-    known: dict[str, list[tuple[int, int]]] = {}
+    pairs = lexed_pairs(text)
+    weights = [name_weight(name, rules) for name, _ in pairs]
     found = set()
-    for name, parts in lexed_pairs(text):
-        spans, value = [], b""
-        for part in parts:
-            if part[0] == "text":
-                spans.append(part[1:])
-            elif part[1] in known:
-                spans += known[part[1]]
-            elif len(parts) == 1:                                             # a bare word of a configuration file
-                spans.append(part[2:])
-        spans = list(dict.fromkeys(spans))[:]
-        value = b"".join(text[a:b] for a, b in spans)
-        if spans:
-            known[name] = spans if len(spans) <= 64 else []                   # joined ever longer in a loop: no constant
-        if spans and (weight := name_weight(name, rules)) > 0 and weight + literal_weight(value, rules) >= rules.least:
-            found.update(s for s in spans if s[1] > s[0])
+    if any(w > 0 for w in weights):
+        for made, changed in _resolved(pairs):
+            held, sure = {}, []
+            for i, weight in enumerate(weights):
+                if weight <= 0 or changed and not changed[i]:
+                    continue
+                ref = made[i][0] if made[i] and not changed else None
+                if isinstance(ref, int) and ref in held and all(isinstance(x, tuple) for x in made[i][1:]):
+                    value = held.pop(ref) + b"".join(text[a:b] for a, b in made[i][1:])   # longer by its own literals
+                else:
+                    value = b"".join(text[a:b] for a, b in _reached([i], made))
+                held[i] = value
+                if len(held) > 64:
+                    held.pop(next(iter(held)))                                # joined again when it is needed
+                if weight + literal_weight(value, rules) >= rules.least:
+                    sure.append(i)
+            found.update(s for s in _reached(sure, made) if s[1] > s[0])
     return [(a, b, 3) for a, b in found]
 
 

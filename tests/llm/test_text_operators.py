@@ -137,6 +137,25 @@ def test_lexed_literals(spark):
     assert [k for _, _, k in secrets.spans_of(b"just prose: nothing = here, really", secrets.SecretRules())] == []
 
 
+def test_literals_behind_many_blanks_and_long_types():
+    lits = lambda t: {t[a:b] for a, b, _ in secrets.literal_spans(t.encode(), secrets.SecretRules())}
+    value = "Zx81qLm2Vb4Nt8Rk"
+    for name in ("private_key", "signing_key", "credential", "pwd", "auth_key", "passphrase"):
+        for blanks in (" " * 9, "\t" * 200):
+            assert lits(f'{name}{blanks}= "{value}"') == {value} and lits(f'{name}:{blanks}"{value}"') == {value}, name
+        assert lits(f'{name}:{" " * 9}{"Typed" * 20}{" " * 9}= "{value}"') == {value}, name
+
+
+def test_constants_of_the_whole_text():
+    lits = lambda t: {t[a:b] for a, b, _ in secrets.literal_spans(t.encode(), secrets.SecretRules())}
+    assert lits("signing_key = first + second\nsecond = third\nthird = 'Vb4Nt8Rk'\nfirst = 'Q9x7Lm2'\n") == {"Q9x7Lm2", "Vb4Nt8Rk"}
+    assert lits("client_secret = a\na = b\nb = a\n") == set()                  # a circle ends
+    assert lits("auth_token: Q9x7Lm2Vb4\nQ9x7Lm2Vb4: 'other-Zx81qLm2'\n") == {"Q9x7Lm2Vb4", "other-Zx81qLm2"}
+    many = "k0 = 'Aq9'\n" + "".join(f"k{i} = k{i - 1} + '{i:03d}x'\n" for i in range(1, 101)) + "client_secret = k100\n"
+    assert lits(many) == {"Aq9"} | {f"{i:03d}x" for i in range(1, 101)}
+    assert lits("x0 = 'Q9x7Lm2Vb4'\n" + "".join(f"x{i} = x{i - 1} + x{i - 1}\n" for i in range(1, 200)) + "signing_key = x199") == {"Q9x7Lm2Vb4"}
+
+
 def test_redaction(spark, odd, empty, clashing):
     table = spark.createDataFrame([(1, CODE), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(table).collect()}
