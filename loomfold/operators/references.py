@@ -66,16 +66,8 @@ def reference_cycles(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
     return ring.select("node", F.col("least").alias("cycle"))
 
 
-def cycle_subjects(cycles: DataFrame, graph: DataFrame, spelled_out: int = 1_000) -> DataFrame:
-    """(cycle, subject, n_members, keys): the keys in order name the question.
-
-    A cycle too long to spell out is named by its least key and its size; its
-    members are in ``cycles`` either way.
-    """
+def cycle_subjects(cycles: DataFrame, graph: DataFrame) -> DataFrame:
+    """(cycle, subject, n_members, keys): the keys in order name the question, however many."""
     keyed = cycles.join(graph.select("node", "key", "_rid"), "node")
-    sizes = keyed.groupBy("cycle").agg(F.count(F.lit(1)).alias("n_members"), F.min("key").alias("_least"))
-    short = sizes.where(F.col("n_members") <= spelled_out).select("cycle")
-    lists = keyed.join(short, "cycle", "left_semi").groupBy("cycle").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    named = F.coalesce(F.array_join("keys", "|"), F.concat("_least", F.lit("+"), (F.col("n_members") - 1).cast("string")))
-    return (sizes.join(lists, "cycle", "left").withColumn("subject", F.concat(F.lit("cycle:"), named))
-            .withColumn("keys", F.coalesce("keys", F.array("_least"))).drop("_least"))
+    return (keyed.groupBy("cycle").agg(F.count(F.lit(1)).alias("n_members"), F.array_sort(F.collect_list("key")).alias("keys"))
+            .withColumn("subject", F.concat(F.lit("cycle:"), F.array_join("keys", "|"))))

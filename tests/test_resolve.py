@@ -69,6 +69,21 @@ def test_one_identifier_on_a_third_of_all_rows(spark):
     assert shown.where("sources IS NULL").count() == 1                               # too long to inline, whole in members
 
 
+def test_long_source_lists_and_cycles_are_whole(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from workloads import identity
+
+    items = [{"_source": f"a.csv#{i:04d}", "employee_code": "E0"} for i in range(1_200)]
+    monkeypatch.setattr(identity, "derive", lambda *_: rows(spark, items, 4))
+    monkeypatch.setattr(identity, "PARTY", EMPLOYEE)
+    (got,) = identity.record_sources(spark, "").collect()
+    assert sorted(got["source_rows"].split("; ")) == [x["_source"] for x in items]
+    ring = spark.range(1_200).select(F.col("id").cast("string").alias("node"), F.format_string("k%04d", "id").alias("key"), F.col("id").alias("_rid"))
+    (named,) = cycle_subjects(ring.select("node", F.lit("0").alias("cycle")), ring).collect()
+    keys = [f"k{i:04d}" for i in range(1_200)]
+    assert named["keys"] == keys and named["subject"] == "cycle:" + "|".join(keys) and named["n_members"] == 1_200
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)

@@ -93,7 +93,7 @@ def document_entities(spark, sf):
 def record_sources(spark, sf):
     """The source list of each record, most complete row first."""
     records, members = E.resolve_records(derive(spark, sf, "exports"), PARTY)
-    return E.inline_sources(cut(records), members).select(F.col("_seq").alias("root"), F.array_join("sources", "; ").alias("source_rows"))
+    return records.join(E.source_lists(members), "_rid", "left").select(F.col("_seq").alias("root"), F.array_join("sources", "; ").alias("source_rows"))
 
 
 # -- J2, J3, A13 -------------------------------------------------------------
