@@ -6,7 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomfold.llm import bytebpe, fertility, htmltext, logbilinear, mixing, neardup, secrets, topk, toxicity, urlrules
+from loomfold.lineage import keep
+from loomfold.llm import bytebpe, crosstoken, fertility, htmltext, logbilinear, merkle, mixing, neardup, secrets, topk, toxicity, urlrules, warc
 from loomfold.llm.common import bounded_batches, held_out
 
 
@@ -81,8 +82,29 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and payload digest of every page's record in an archive without copies."""
+    found = warc.archived(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("original").cast("long").alias("refers_to"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document."""
+    found = merkle.manifest(keep(merkle.document_leaves(_table(spark, sf_dir, "documents"))), "source", ["doc_id"])
+    told = lambda c: F.lower(F.hex(c))
+    proof = F.lower(F.array_join(F.transform("steps", lambda s: F.concat(F.hex(s["left"]), F.hex(s["right"]))), ""))
+    found = found.withColumn("_folded", merkle.fold(F.col("tampered"), F.col("steps")))
+    return found.select("doc_id", *[told(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(proof, 256).alias("proof_sha256"),
+                        told(F.col("_folded")).alias("folded_root"), (F.col("_folded") == F.col("root")).alias("verified"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    return crosstoken.align(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_tokeniser_fertility, op3_byte_bpe, op4_secret_scan, op5_source_mix, op6_url_rules, op7_lsh_forest, op8_toxicity, op9_main_text,
-                                op10_log_bilinear)}
+                                op10_log_bilinear, op11_warc_revisits, op12_merkle_manifest, op13_cross_tokenizer)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE: dict[str, str] = {
@@ -123,4 +145,40 @@ ORACLE: dict[str, str] = {
         e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM c)
         SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (epochs + CASE WHEN start + size / 2 < target - epochs * source_size THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
         FROM e""",
+    # base 32 takes the digest's bits by fives
+    "op11_warc_revisits": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+        b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(h, i, 1)) - 3, 4)), '') AS bits FROM d)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bits, 5 * k + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * k + 2, 1) AS INT)
+                   + 4 * CAST(substr(bits, 5 * k + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * k + 4, 1) AS INT) + CAST(substr(bits, 5 * k + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM b""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE f AS (SELECT doc_id, source, text,
+                coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+                coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, replace(text, chr(10), '') AS cut,
+                list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+                    lambda c, x: list_reduce(list_prepend(xor(c, x), CAST(range(8) AS BIGINT[])), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))) AS crc FROM documents),
+        leaves AS (SELECT doc_id, source, sha256(head || tail) AS leaf,
+                CASE WHEN xor(crc, 4294967295) % 2 = 0 AND text IS NOT NULL THEN sha256(head || octet_length(encode(cut)) || ':' || cut) ELSE sha256(head || tail) END AS tampered FROM f),
+        o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+        t(tree, level, l) AS (SELECT tree, 0, list(leaf ORDER BY pos) FROM o GROUP BY tree
+            UNION ALL SELECT tree, level + 1, list_transform(range(0, (len(l) + 2) // 3), lambda i: sha256(array_to_string(l[3 * i + 1 : 3 * i + 3], ''))) FROM t WHERE len(l) > 1),
+        s AS (SELECT tree, max(level) AS height, arg_max(l, level)[1] AS subroot FROM t GROUP BY tree),
+        u(level, l) AS (SELECT 0, list(subroot ORDER BY tree) FROM s
+            UNION ALL SELECT level + 1, list_transform(range(0, (len(l) + 2) // 3), lambda i: sha256(array_to_string(l[3 * i + 1 : 3 * i + 3], ''))) FROM u WHERE len(l) > 1),
+        every AS (SELECT t.tree, t.level, t.l FROM t JOIN s USING (tree) WHERE len(t.l) > 1 UNION ALL SELECT s.tree, s.height + u.level, u.l FROM s CROSS JOIN u WHERE len(u.l) > 1),
+        w AS (SELECT o.doc_id, o.pos, o.tree, e.level, e.l, CAST(CASE WHEN e.level < s.height THEN o.pos // CAST(pow(3, e.level) AS BIGINT) ELSE o.tree // CAST(pow(3, e.level - s.height) AS BIGINT) END AS BIGINT) AS here
+              FROM o JOIN s USING (tree) JOIN every e ON e.tree = o.tree),
+        steps AS (SELECT tree, pos, level, array_to_string(l[3 * (here // 3) + 1 : here], '') AS a, array_to_string(l[here + 2 : 3 * (here // 3) + 3], '') AS b FROM w),
+        proof AS (SELECT tree, pos, string_agg(a || b, '' ORDER BY level) AS p FROM steps GROUP BY tree, pos),
+        fold(tree, pos, level, state) AS (SELECT tree, pos, 0, tampered FROM o
+            UNION ALL SELECT f.tree, f.pos, f.level + 1, sha256(x.a || f.state || x.b) FROM fold f JOIN steps x ON x.tree = f.tree AND x.pos = f.pos AND x.level = f.level),
+        ended AS (SELECT tree, pos, arg_max(state, level) AS folded_root FROM fold GROUP BY tree, pos),
+        r AS (SELECT arg_max(l, level)[1] AS root FROM u)
+        SELECT o.doc_id, o.leaf, s.subroot, r.root, sha256(coalesce(p.p, '')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+        FROM o JOIN s USING (tree) CROSS JOIN r JOIN ended e ON e.tree = o.tree AND e.pos = o.pos LEFT JOIN proof p ON p.tree = o.tree AND p.pos = o.pos""",
 }
