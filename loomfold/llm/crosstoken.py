@@ -11,7 +11,9 @@ the whole corpus, from the distinct pairs of runs of documents.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,7 +33,7 @@ class AlignRules:
     listed together (bounds a task's memory, unless one text is longer).  ``piece_ends``: ends in a piece of a merge."""
     ranks: str = public_tokenizers.path("byte_bpe_50k.json")
     pieces: str = public_tokenizers.path("piece_bpe_32k.model")
-    run_bytes: int = 8 << 20
+    run_bytes: int = 2 << 20
     piece_ends: int = 1 << 16
 
 
@@ -42,19 +44,34 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Blocks whose letters, digits and spaces no later version of Unicode has changed: over them both libraries split alike.
+SETTLED = re.compile("[^\u0000-\u024F\u0391-\u03CE\u0410-\u044F\u2010-\u2027\u2030-\u205E\u20AC\u2190-\u21FF\u3000-\u3003\u3041-\u3096\u4E00-\u9FA5\uAC00-\uD7A3\U0001F300-\U0001F5FF]")
+
+
 @lru_cache(maxsize=4)
-def _tokenizers(ranks: str, pieces: str):
-    """Both tokenizers, and the bytes of each of their tokens by id."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"                            # a task has one core
-    import sentencepiece
+def _own_library(ranks: str):
     from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"                            # a task has one core
     a = Tokenizer.from_file(ranks)
     a.encode_special_tokens = True
+    return a
+
+
+@lru_cache(maxsize=4)
+def _tokenizers(ranks: str, pieces: str):
+    """An encoder of the byte-level vocabulary, the piece tokenizer, and the bytes of each of their tokens by id."""
+    import sentencepiece
+    import tiktoken
+    with open(ranks, encoding="utf-8") as file:
+        model = json.load(file)
+    of, special = _byte_of(), {t["content"] for t in model["added_tokens"]}
+    vocab = model["model"]["vocab"]
+    a_bytes = [b""] * (1 + max(vocab.values()))
+    for token, i in vocab.items():
+        a_bytes[i] = token.encode() if token in special else bytes(map(of.__getitem__, token))
+    plain = {a_bytes[i]: i for token, i in vocab.items() if token not in special}
+    a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={})
     b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-    of = _byte_of()
-    a_bytes = [b""] * (1 + max(a.get_vocab().values()))
-    for token, i in a.get_vocab().items():
-        a_bytes[i] = bytes(map(of.__getitem__, token)) if all(c in of for c in token) else token.encode()
     b_bytes = []
     for i in range(b.get_piece_size()):
         piece = b.id_to_piece(i)
@@ -62,22 +79,24 @@ def _tokenizers(ranks: str, pieces: str):
     return a, b, a_bytes, b_bytes
 
 
-def encode_both(texts: list[str], rules: AlignRules) -> Iterator[tuple[list[int], list[int]]]:
-    """Ids by either tokenizer, none for texts that one of them does not give back."""
+def encode_both(texts: list[str], rules: AlignRules) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids by either tokenizer, none for texts that one of them does not give back.
+
+    The same merges run faster in another library than in the vocabulary's own; texts of
+    characters that one of them might sort otherwise go through its own.
+    """
     a, b, a_bytes, b_bytes = _tokenizers(rules.ranks, rules.pieces)
     some = [t for t in texts if t]
-    left = a.encode_batch([" " + t for t in some], add_special_tokens=False)
-    right = b.encode(some, num_threads=1)
-    at = 0
+    right = iter(b.encode(some, num_threads=1))
     for text in texts:
         if not text:
-            yield [], []
+            yield np.empty(0, np.int32), np.empty(0, np.int32)
             continue
-        ids, others = left[at].ids, right[at]
-        at += 1
-        raw = b" " + text.encode("utf-8")
+        spaced, others = " " + text, next(right)
+        ids = a.encode_ordinary(spaced) if not SETTLED.search(text) else _own_library(rules.ranks).encode(spaced, add_special_tokens=False).ids
+        raw = spaced.encode("utf-8")
         same = b"".join(map(a_bytes.__getitem__, ids)) == raw and b"".join(map(b_bytes.__getitem__, others)) == raw
-        yield (ids, others) if same else ([], [])
+        yield np.array(ids if same else [], np.int32), np.array(others if same else [], np.int32)
 
 
 def diagonal_cuts(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +149,10 @@ class Aligned:
 def align_run(texts: list[str], rules: AlignRules) -> Aligned:
     _, _, a_bytes, b_bytes = _tokenizers(rules.ranks, rules.pieces)
     texts, left, right = [t or "" for t in texts], [], []
-    for start, end in runs_of_bytes(texts, 1 << 20):                          # encodings are large: a few texts at once
+    for start, end in runs_of_bytes(texts, 1 << 18):                          # lists of ids are large: a few texts at once
         for ids, others in encode_both(texts[start:end], rules):
-            left.append(np.array(ids, np.int32))
-            right.append(np.array(others, np.int32))
+            left.append(ids)
+            right.append(others)
     made = []
     for ids, table in ((left, a_bytes), (right, b_bytes)):
         flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -152,7 +171,7 @@ def _sizes(table: list[bytes]) -> np.ndarray:
     return _SIZES[id(table)]
 
 
-def _written(run: Aligned, table: list[list[str]]) -> list[str]:
+def _written(run: Aligned, table: list[str]) -> Iterator[str]:
     """For every document its groups: ids of the first side, a bar, ids of the second, groups parted by semicolons."""
     m, n = len(run.a), len(run.b)
     a_group, b_group = np.zeros(m, np.int64), np.zeros(n, np.int64)
@@ -167,8 +186,8 @@ def _written(run: Aligned, table: list[list[str]]) -> list[str]:
     codes[np.arange(m) + before_b[a_group]] = run.a + np.where(a_end, width, 0)
     codes[np.arange(n) + (run.a_last + 1)[b_group]] = run.b + np.where(b_end, 3 * width, 2 * width)
     cuts = (run.a_starts + run.b_starts).tolist()
-    codes = codes.tolist()
-    return ["".join(map(table.__getitem__, codes[p:q]))[:-1] for p, q in zip(cuts, cuts[1:])]
+    for p, q in zip(cuts, cuts[1:]):
+        yield "".join(map(table.__getitem__, codes[p:q].tolist()))[:-1]
 
 
 @lru_cache(maxsize=2)
