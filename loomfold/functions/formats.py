@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from loomfold.functions.text import strip, text_of
+from loomfold.functions.text import strip, text_of, words
 
 # Value shapes.  (?U) gives \d and \s their Unicode meaning.
 FORMATS = {
@@ -66,22 +66,33 @@ def pii_by_name(column: Column) -> Column:
     return out
 
 
-def _shaped_like(pattern: str):
-    return lambda v: F.upper(v).rlike(pattern)
+#: What a column's values are held against, as named shares of its filled rows.
+SHAPES = {**{f"pii:{k}": p for k, p in PII_PATTERNS.items()}, **{f"format:{k}": p for k, p in FORMATS.items()}}
 
 
-def pii_by_shape(samples: Column) -> Column:
-    """Kind nearly all samples are shaped like; null if none."""
-    clean = F.filter(F.transform(samples, strip), lambda v: v != "")
+def shape_shares(value: Column, weight: Column, total: Column) -> Column:
+    """Aggregate: for each shape the share of ``total`` rows whose (trimmed, filled) value has it, as a map.
+
+    ``weight`` is the number of rows of a distinct value, 0 where it is blank: the whole column
+    decides, however many placeholders come first.
+    """
+    shares = []
+    for name, pattern in SHAPES.items():
+        shares += [F.lit(name), F.try_divide(F.sum(F.when(F.upper(value).rlike(pattern), weight).otherwise(0)), total)]
+    two_to_four = F.size(words(value)).between(2, 4)
+    return F.create_map(*shares, F.lit("full_name"), F.try_divide(F.sum(F.when(two_to_four, weight).otherwise(0)), total))
+
+
+def pii_by_shape(shares: Column) -> Column:
+    """First kind that nearly all of a column's rows are shaped like; null if none."""
     out = F.lit(None).cast("string")
-    for kind, pattern in reversed(list(PII_PATTERNS.items())):
-        hits = F.size(F.filter(clean, _shaped_like(pattern)))
-        out = F.when((F.size(clean) > 0) & (hits / F.size(clean) >= PII_SHARE), F.lit(kind)).otherwise(out)
+    for kind in reversed(PII_PATTERNS):
+        out = F.when(F.coalesce(shares[f"pii:{kind}"], F.lit(0.0)) >= PII_SHARE, F.lit(kind)).otherwise(out)
     return out
 
 
-def pii_kind(column: Column, samples: Column) -> Column:
-    return F.coalesce(pii_by_name(column), pii_by_shape(samples))
+def pii_kind(column: Column, shares: Column) -> Column:
+    return F.coalesce(pii_by_name(column), pii_by_shape(shares))
 
 
 def is_retryable(status: Column, policy) -> Column:

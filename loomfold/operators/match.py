@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomfold.functions.formats import FORMATS
 from loomfold.functions.similarity import token_sort_ratio, wratio
-from loomfold.functions.text import alnum_key, column_key, strip, words
+from loomfold.functions.text import alnum_key, is_null_word, strip
 from loomfold.functions.vectors import cosine
 from loomfold.operators.answers import remembered, rule_answers, share_map_answers
 from loomfold.operators.vocabulary import canonicalise
@@ -77,32 +77,44 @@ def lexical_scores(profiles: DataFrame, spec: SchemaSpec) -> DataFrame:
             .groupBy("column", "field").agg(F.max("s").alias("lexical"), F.max(same).alias("exact")))
 
 
-def recognised_shares(profiles: DataFrame, spec: SchemaSpec, policy: Policy) -> DataFrame:
-    """Share of a column's samples that already are words of an enum field."""
-    enums = F.array(*[F.lit(f.name) for f in spec.fields if f.type == "enum"])
-    cells = profiles.select("file", "column", F.explode(F.transform("raw_samples", strip)).alias("sample")).where("sample <> ''")
-    cells = cells.select("file", "column", F.lower("sample").alias("value"), F.explode(enums).alias("field"))
-    words_ = canonicalise(cells.select("field", "value").distinct(), spec, policy)
-    return (cells.join(words_.select("field", "value", "canonical"), ["field", "value"], "left")
-            .groupBy("file", "column", "field")
-            .agg((F.count("canonical") / F.count(F.lit(1))).alias("recognised")))
+def recognised_shares(values: DataFrame, profiles: DataFrame, spec: SchemaSpec, policy: Policy) -> DataFrame:
+    """(file, column, field, recognised): share of a column's filled rows that already are words of an enum field.
+
+    ``values``: the value frequencies.  Every distinct value counts with its rows.  Number and id
+    columns are left out of fields without numbered words, which they cannot feed; of the rest
+    only values of a length that can reach the threshold are scored.
+    """
+    enums = [f for f in spec.fields if f.type == "enum" and f.enum]
+    if not enums:
+        return profiles.select("file", "column", F.lit("").alias("field"), F.lit(0.0).alias("recognised")).limit(0)
+    listed = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(any(o.strip().isdigit() for o in f.enum)).alias("numbered"),
+                                F.array(*[F.lit(o.lower()) for o in f.enum]).alias("options"), F.array(*[F.lit(a) for a, _ in f.aliases]).cast("array<string>").alias("others")) for f in enums])
+    value = strip(F.lower("value"))
+    cells = (values.where((F.col("value") != "") & ~is_null_word(F.col("value"))).join(F.broadcast(profiles.select("file", "column", "inferred_type", "non_null")), ["file", "column"])
+             .select("file", "column", "non_null", "inferred_type", value.alias("value"), "n", F.inline(listed))
+             .where(F.col("numbered") | ~F.col("inferred_type").isin("number", "id")))
+    shorter, longer = (lambda o: F.least(F.length("value"), F.length(o))), (lambda o: F.greatest(F.length("value"), F.length(o)))
+    near = F.exists("options", lambda o: (longer(o) < 1.5 * shorter(o)) | F.contains("value", o) | F.contains(o, F.col("value")))
+    likely = cells.where(near | F.array_contains("others", F.col("value"))).groupBy("file", "column", "non_null", "field", "value").agg(F.sum("n").alias("n"))
+    words_ = canonicalise(likely.select("field", "value").distinct(), spec, policy).where("canonical IS NOT NULL").select("field", "value")
+    return (likely.join(words_, ["field", "value"]).groupBy("file", "column", "field")
+            .agg((F.sum("n") / F.first("non_null")).alias("recognised")))
 
 
 def _structural(f: FieldSpec, policy: Policy) -> Column:
-    """P15 for one field, over profile columns and ``recognised``."""
-    samples = F.filter(F.transform("raw_samples", strip), lambda v: v != "")
+    """P15 for one field, over profile columns and ``recognised``: shares of all filled rows."""
+    filled = F.col("non_null") > 0
     kind = F.col("inferred_type")
     rules: list[tuple[Column, float]] = []
     if f.format in FORMATS:
-        rules.append(((F.size(samples) > 0) & ~F.exists(samples, lambda v: F.upper(v).rlike(FORMATS[f.format])),
-                      -policy.content_penalty))
+        rules.append((filled & (F.col("shares")[f"format:{f.format}"] < policy.format_min_share), -policy.content_penalty))
     if f.unique:
         rules.append(((F.col("non_null") > 0) & (F.col("cardinality") / F.col("non_null") < policy.unique_min_distinct_ratio),
                       -policy.content_penalty))
     if f.enum:
         if not any(o.strip().isdigit() for o in f.enum):
-            rules.append(((F.size(samples) > 0) & kind.isin("number", "id"), -policy.content_penalty))
-        rules.append(((F.size(samples) > 0) & (F.col("recognised") >= policy.vocabulary_share), policy.type_bonus))
+            rules.append((filled & kind.isin("number", "id"), -policy.content_penalty))
+        rules.append((filled & (F.col("recognised") >= policy.vocabulary_share), policy.type_bonus))
     expected = _expected_type(f)
     rules.append((kind.isin(*TYPE_COMPATIBILITY[expected]), policy.type_bonus if expected != "string" else 0.0))
     out = F.lit(-policy.type_penalty)
@@ -139,21 +151,25 @@ def embed_texts(profiles: DataFrame) -> DataFrame:
 
 
 def full_name_column() -> Column:
-    """Header speaks of a person and samples are two to four words."""
+    """Header speaks of a person and nearly all filled rows hold two to four words."""
     header = F.regexp_replace("column", "_", " ")
-    real = F.filter("raw_samples", lambda v: strip(v) != "")
-    parts = F.size(F.filter(real, lambda v: F.size(words(v)).between(2, 4)))
-    return (header.rlike(_PERSON_HEADER) & ~header.rlike(_PART_HEADER)
-            & (F.size(real) > 0) & (parts / F.size(real) >= 0.8))
+    return header.rlike(_PERSON_HEADER) & ~header.rlike(_PART_HEADER) & F.coalesce(F.col("shares")["full_name"] >= 0.8, F.lit(False))
 
 
 def score_candidates(profiles: DataFrame, spec: SchemaSpec, policy: Policy = DEFAULT_POLICY,
-                     cosines: DataFrame | None = None) -> DataFrame:
-    """One row per (file, column, field) with blended score and rank."""
+                     cosines: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """One row per (file, column, field) with blended score and rank.
+
+    ``values`` (value frequencies) let words speak for enum fields; without them only the
+    columns' types do.
+    """
     fields = F.array(*[F.struct(F.lit(i).alias("field_pos"), F.lit(f.name).alias("field")) for i, f in enumerate(spec.fields)])
-    base = profiles.select("file", "column", "column_pos", "inferred_type", "raw_samples", "non_null", "cardinality", F.inline(fields))
-    scored = (base.join(lexical_scores(profiles, spec), ["column", "field"], "left")
-              .join(recognised_shares(profiles, spec, policy), ["file", "column", "field"], "left"))
+    base = profiles.select("file", "column", "column_pos", "inferred_type", "shares", "non_null", "cardinality", F.inline(fields))
+    scored = base.join(lexical_scores(profiles, spec), ["column", "field"], "left")
+    if values is None:
+        scored = scored.withColumn("recognised", F.lit(0.0))
+    else:
+        scored = scored.join(recognised_shares(values, profiles, spec, policy), ["file", "column", "field"], "left")
     if cosines is None:
         scored = scored.withColumn("cosine", F.lit(0.0)).withColumn("relative", F.lit(0.0))
     else:
@@ -330,9 +346,9 @@ def _file_groups(profiles: DataFrame, candidates: DataFrame, answers: DataFrame
 
 def match_columns(profiles: DataFrame, spec: SchemaSpec, policy: Policy = DEFAULT_POLICY, answers: DataFrame | None = None,
                   memory: DataFrame | None = None, cosines: DataFrame | None = None,
-                  candidates: DataFrame | None = None) -> DataFrame:
+                  candidates: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """The mapping of every column of every file."""
-    candidates = score_candidates(profiles, spec, policy, cosines) if candidates is None else candidates
+    candidates = score_candidates(profiles, spec, policy, cosines, values) if candidates is None else candidates
     fields, contests = spec.names, rule_answers(answers)
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:

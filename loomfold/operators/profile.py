@@ -12,12 +12,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomfold.functions.formats import TYPE_PATTERNS, TYPE_SHARES, pii_kind
+from loomfold.functions.formats import TYPE_PATTERNS, TYPE_SHARES, pii_kind, shape_shares
 from loomfold.functions.text import col, is_null_word, redact_samples, strip
 from loomfold.lineage import keep
 from loomfold.sources.tables import source_columns
 
-SAMPLE_SIZE, SHOWN_SAMPLES = 8, 5
+#: Values shown to a person; nothing is decided on them.
+SHOWN_SAMPLES = 5
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -45,7 +46,7 @@ def value_frequency(sources: Mapping[str, DataFrame], columns: Mapping[str, list
             .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos")))
 
 
-def first_distinct(vf: DataFrame, k: int = SAMPLE_SIZE) -> DataFrame:
+def first_distinct(vf: DataFrame, k: int = SHOWN_SAMPLES) -> DataFrame:
     """The first ``k`` distinct non-blank values of every column, in file order.
 
     The rank filter is pushed below the shuffle (each task sends at most ``k``
@@ -67,6 +68,7 @@ def _stats(vf: DataFrame) -> DataFrame:
         F.sum(F.when(real, n).otherwise(0)).alias("non_null"),
         F.count(F.when(real, F.lit(1))).alias("cardinality"),
         F.coalesce(F.max(F.when(real, digits >= 10)), F.lit(False)).alias("_long"),
+        shape_shares(value, F.when(real, n).otherwise(0), F.sum(F.when(real, n).otherwise(0))).alias("shares"),
         *shares)
 
 
@@ -82,20 +84,20 @@ def inferred_type():
 
 
 def profile_columns(sources: Mapping[str, DataFrame], vf: DataFrame | None = None) -> DataFrame:
-    """A1-A3: one row per (file, column).  ``samples`` are masked where personal.
+    """A1-A3: one row per (file, column).  ``samples`` are for display, masked where personal.
 
-    The frequencies are read twice (counts, samples) and differently pruned, so
-    they are written once instead of being scanned and shuffled twice.
+    ``shares`` says which part of the filled rows has each shape.  Whether a column is personal,
+    holds full names or fits a format is decided on them, so on every value of the column.  The
+    frequencies are read twice (counts, samples) and differently pruned, so they are written once
+    instead of being scanned and shuffled twice.
     """
     vf = keep(value_frequency(sources)) if vf is None else vf
     joined = _stats(vf).join(first_distinct(vf), ["file", "column"], "left")
     raw = F.coalesce(F.col("raw_samples"), F.array().cast("array<string>"))
-    typed = joined.withColumn("raw_samples", raw).withColumn("inferred_type", inferred_type())
-    kinded = typed.withColumn("pii_kind", pii_kind(F.col("column"), F.col("raw_samples")))
-    return kinded.select(
+    typed = joined.withColumn("inferred_type", inferred_type()).withColumn("pii_kind", pii_kind(F.col("column"), F.col("shares")))
+    return typed.select(
         "file", "column", "column_pos", "row_count", "non_null", "cardinality", "inferred_type",
-        redact_samples(F.slice("raw_samples", 1, SHOWN_SAMPLES), F.col("pii_kind")).alias("samples"),
-        "raw_samples", F.col("pii_kind").isNotNull().alias("is_pii"), "pii_kind",
+        redact_samples(raw, F.col("pii_kind")).alias("samples"), "shares", F.col("pii_kind").isNotNull().alias("is_pii"), "pii_kind",
         F.when(F.col("row_count") == 0, F.lit(0.0)).otherwise(1 - F.col("non_null") / F.col("row_count")).alias("null_rate"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.functions.text import col, norm_key
-from loomfold.lineage import cut
+from loomfold.lineage import cut, salted_lookup
+from loomfold.operators.positions import positions
 
 
 def reference_graph(records: DataFrame, target: str, pointer: str) -> DataFrame:
@@ -30,24 +31,53 @@ def orphan_refs(orphans: DataFrame, records: DataFrame, pointer: str) -> DataFra
             .select(F.concat(F.lit("manager:"), "missing").alias("subject"), F.col("key").alias("ref"), "_rid"))
 
 
+#: Peeling goes on while it takes at least this share of what is left: then chains of some length remain.
+PEELED_SHARE = 1 / 16
+#: A value that more than this share of the chains leads to is looked up in many tasks.
+HOT_SHARE, HOT_MINIMUM = 1 / 200, 1_000
+
+
+def peeled(step: DataFrame) -> tuple[DataFrame, int]:
+    """(node, next) without what no cycle runs through, and how many rows that is.
+
+    Round by round nodes that nothing points at and pointers that lead nowhere go.  Hierarchies
+    thin out by their width each round, so a tree is gone before anything collapses on its root;
+    rounds end once they take little, which leaves cycles and long thin chains.
+    """
+    current, n = step, step.count()
+    while n:
+        pointed = current.select(F.col("next").alias("node")).distinct()
+        leads = current.select(F.col("node").alias("next"))
+        smaller = cut(current.join(pointed, "node", "left_semi").join(leads, "next", "left_semi").select("node", "next"))
+        left = smaller.count()
+        gone, current, n = n - left, smaller, left
+        if gone <= PEELED_SHARE * (left + gone):
+            break
+    return current, n
+
+
+def _followed(jump: DataFrame, ahead: DataFrame, n: int) -> DataFrame:
+    """``jump`` (next, ...) joined to ``ahead`` (unique on next); values that very many lead to are spread over tasks."""
+    if n <= HOT_MINIMUM:
+        return jump.join(ahead, "next")
+    hot = jump.groupBy("next").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(HOT_MINIMUM, int(n * HOT_SHARE))).select("next")
+    return salted_lookup(jump, ahead.withColumn("_known", F.lit(True)), "next", hot, "node").where("_known").drop("_known")
+
+
 def reference_cycles(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, cycle) for every member of a cycle longer than one.
 
-    Only nodes that something points at can lie on a cycle, which removes the
-    leaves (most of any hierarchy) and with them every heavily shared pointer but
-    one row per source.  Then pointers are doubled: nodes whose chain ends drop
-    out, and what the remaining chains lead to shrinks to the cycle members.
+    Trees are peeled off first; then pointers are doubled: chains that end drop out, and what the
+    remaining ones lead to shrinks to the members of cycles.
     """
-    step = graph.where("points_to <> '' AND points_to <> node").select("node", F.col("points_to").alias("next"))
-    pointed = step.select(F.col("next").alias("node")).distinct()
-    base = cut(step.join(pointed, "node", "left_semi"))
-    jump, alive = base, base.count()
-    image = None
+    step = cut(graph.where("points_to <> '' AND points_to <> node").select("node", F.col("points_to").alias("next")))
+    base, alive = peeled(step)
+    jump, image = base, None
     for _ in range(max_rounds):
         if alive == 0:
             break
         ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("_after"))
-        jump = cut(jump.join(ahead, "next").select("node", F.col("_after").alias("next")))
+        jump = cut(_followed(jump, ahead, alive).select("node", F.col("_after").alias("next")))
         left = jump.count()
         reached = jump.select("next").distinct().count()
         if left == alive and reached == image:
@@ -66,6 +96,11 @@ def reference_cycles(graph: DataFrame, max_rounds: int = 64) -> DataFrame:
     return ring.select("node", F.col("least").alias("cycle"))
 
 
+def cycle_members(cycles: DataFrame, graph: DataFrame) -> DataFrame:
+    """(cycle, position, key): the options of each cycle in order, as rows, however long it is."""
+    return positions(cycles.join(graph.select("node", "key"), "node").select("cycle", "key"), ["cycle"], ["key"])
+
+
 def cycle_subjects(cycles: DataFrame, graph: DataFrame) -> DataFrame:
     """(cycle, subject, n_members, keys): the keys in order name the question, however many."""
     keyed = cycles.join(graph.select("node", "key", "_rid"), "node")

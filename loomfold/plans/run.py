@@ -105,7 +105,7 @@ def run(sources: Mapping[str, DataFrame], spec: SchemaSpec, run_id: str = "run",
     # evidence and decisions about columns
     vf = keep(value_frequency(sources))
     profiles = cut(profile_columns(sources, vf))
-    mappings = cut(match_columns(profiles, spec, policy, answers, memory, cosines))
+    mappings = cut(match_columns(profiles, spec, policy, answers, memory, cosines, values=vf))
     place = {f: i for i, f in enumerate(sources)}
     rows_of = sorted(mappings.collect(), key=lambda m: (place[m["file"]], m["column_pos"]))       # one per source column
     file_no = F.coalesce(*[F.when(F.col("file") == f, i) for f, i in place.items()], F.lit(len(place)))

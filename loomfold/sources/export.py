@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.functions.text import col
+from loomfold.operators.resolve import source_rows
 from loomfold.spec import SchemaSpec
 
 
@@ -22,9 +23,9 @@ def export_frame(records: DataFrame, spec: SchemaSpec) -> DataFrame:
 
 
 def write_export(records: DataFrame, members: DataFrame, spec: SchemaSpec, path: str, fmt: str = "csv") -> None:
-    """Part files in parallel: ``records`` and the long ``record_sources``."""
+    """Part files in parallel: ``records`` and the long ``record_sources`` (key, position, source), whole for every record."""
     out = export_frame(records, spec).write.mode("overwrite").format(fmt)
     (out.option("header", True).option("escape", '"') if fmt == "csv" else out).save(f"{path}/records")
-    sources = members.join(records.select("_rid", "key"), "_rid").select("key", F.col("_source").alias("source"))
+    sources = source_rows(members).join(records.select("_rid", "key"), "_rid").select("key", "position", "source")
     writer = sources.write.mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(f"{path}/record_sources")

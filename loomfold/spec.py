@@ -161,6 +161,7 @@ class Policy:
     content_penalty: float = 0.45
     unique_min_distinct_ratio: float = 0.5
     vocabulary_share: float = 0.5
+    format_min_share: float = 0.1
     type_bonus: float = 0.08
     type_penalty: float = 0.18
     # dates

@@ -89,9 +89,12 @@ def test_formats(one):
 
 
 def test_pii_kinds(spark):
-    df = spark.createDataFrame([("tax_ref", ["ABCDE1234F", "ZXCVB9876K"]), ("PAN No", []), ("uan_number", []), ("Salary Account", []), ("designation", ["Engineer"]), ("x", ["1234 5678 9012"])],
-                               "c string, s array<string>")
-    assert [r[0] for r in df.select(P.pii_kind(F.col("c"), F.col("s"))).collect()] == ["pan", "pan", "uan", "bank_account", None, "aadhaar"]
+    seen = [("tax_ref", ["ABCDE1234F", "zxcvb9876k"]), ("PAN No", []), ("uan_number", []), ("Salary Account", []), ("designation", ["Engineer"]), ("x", ["1234 5678 9012"]),
+            ("late", ["n/a"] * 8 + [f"{10 ** 11 + i}" for i in range(60)]), ("early", [f"{10 ** 11 + i}" for i in range(8)] + ["n/a"] * 60)]
+    df = spark.createDataFrame([(c, v) for c, values in seen for v in values or [""]], "c string, v string")
+    shares = df.groupBy("c").agg(P.shape_shares(F.col("v"), F.when(F.col("v") != "", 1).otherwise(0), F.sum(F.when(F.col("v") != "", 1).otherwise(0))).alias("s"))
+    got = {r["c"]: r["k"] for r in shares.select("c", P.pii_kind(F.col("c"), F.col("s")).alias("k")).collect()}
+    assert got == {"tax_ref": "pan", "PAN No": "pan", "uan_number": "uan", "Salary Account": "bank_account", "designation": None, "x": "aadhaar", "late": "aadhaar", "early": None}
 
 
 def test_weighted_ratio_anchors():
@@ -108,7 +111,44 @@ def test_lcs_against_the_textbook_recurrence():
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(range(len(a)), range(len(b))):
             table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert S._lcs(a, b) == table[-1][-1]
+        assert S.lcs_lengths([a], [b])[0] == table[-1][-1]
+
+
+def _plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_batched_lengths_of_any_size():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcé🙂 ") for _ in range(n)) for n in (0, 1, 2, 7, 40, 63, 64, 65, 127, 128, 130, 200, 333)]
+    pairs = [(a, b) for a in texts for b in texts]
+    assert S.lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [_plain_lcs(a, b) for a, b in pairs]
+    assert S.weighted_ratios([], []).tolist() == [] and S.partial_ratios(["", "", "ab"], ["", "x", "xaby"]).tolist() == [100.0, 0.0, 100.0]
+
+
+def test_a_word_in_a_third_of_a_block(spark):
+    """The same links as comparing everything, and no candidates through the word that all share."""
+    rng = random.Random(4)
+    names = {"kumar", "kumar singh", "singh kumar"}
+    stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 14))) for _ in range(150)]
+    for s in stems[:100]:
+        names |= {f"kumar {s}", f"{s} kumar"} if rng.random() < 0.3 else {f"kumar {s}"}
+    for s in stems:
+        i = rng.randrange(len(s))
+        names |= {s, f"kumar {s[:i]}{s[i + 1:]}" if rng.random() < 0.4 else s + "x"}
+    for s, u in zip(stems[:40], stems[40:80]):
+        names |= {f"{s} {u}", f"{u} {s} kumar", f"kumar {u} {s[:-1]}"}
+    pairs = list(itertools.combinations(sorted(names), 2))
+    want = {p for p, s in zip(pairs, S.weighted_ratios([a for a, _ in pairs], [b for _, b in pairs])) if s >= 92}
+    df = spark.createDataFrame([("k", v) for v in names], "k string, v string")
+    assert {(r["value_a"], r["value_b"]) for r in S.similar_values(df, ["k"], "v", 92.0, abbreviations=False).collect()} == want
+    by_words = [f(df, ["k"], F.col("v"), X.words(F.col("v")), 0.92).count() for f in (S._by_rarest_word, S._by_rest)]
+    assert sum(by_words) < 2 * len(names)                                           # not the square of the third
 
 
 def test_similar_values_finds_what_comparing_everything_finds(spark):

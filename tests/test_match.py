@@ -3,20 +3,25 @@ from dataclasses import fields as dc_fields
 import pytest
 from pyspark.sql import functions as F
 
+from loomfold.lineage import cut
 from loomfold.operators import match as M
+from loomfold.operators.profile import profile_columns
 from loomfold.operators.answers import answers_frame, memory_from_answers, share_map_answers, update_memory
 from loomfold.spec import DEFAULT_POLICY, Policy
 from loomfold.specs.employee import EMPLOYEE
 
-PROFILE = "file string, column string, column_pos int, inferred_type string, raw_samples array<string>, samples array<string>, non_null long, cardinality long, row_count long, null_rate double"
+def profiles(spark, rows):
+    """Profiles of columns given by their values; a third and fourth number overrule how many rows and distinct values there are."""
+    frame = lambda data, ddl: spark.createDataFrame(data, ddl)                   # noqa: E731
+    cells = frame([(f, c, i, v.strip(), 1, k) for i, (f, c, _, values, *_) in enumerate(rows) for k, v in enumerate(values)],
+                  "file string, column string, column_pos int, value string, n long, min_pos long")
+    facts = frame([(f, c, kind, *(more or (len(v), len(set(v))))) for f, c, kind, v, *more in rows], "file string, column string, inferred_type string, non_null long, cardinality long")
+    own = profile_columns({}, cells).drop("inferred_type", "non_null", "cardinality")
+    return own.join(facts, ["file", "column"])
 
 
-def profiles(spark, rows):
-    full = []
-    for i, (file, column, kind, samples, *more) in enumerate(rows):
-        n, card = more or (len(samples), len(set(samples)))
-        full.append((file, column, i, kind, samples[:8], samples[:5], n, card, n, 0.0))
-    return spark.createDataFrame(full, PROFILE)
+def frequencies(spark, rows):
+    return spark.createDataFrame([(f, c, v, 1) for f, c, _, values, *_ in rows for v in values], "file string, column string, value string, n long")
 
 
 def test_policy_describes_every_threshold(spark):
@@ -45,8 +50,8 @@ def test_alias_terms(spark):
     ("Sex", "string", ["M ", "F"], (), "gender", 0.08), ("Salary", "number", ["62506"], (), "bank_account", -0.45), ("When", "date", ["2020-01-01"], (), "date_of_birth", 0.08),
     ("When", "string", ["x"], (), "date_of_birth", -0.18)])
 def test_content_evidence(spark, column, kind, samples, extra, field, want):
-    p = profiles(spark, [("f", column, kind, samples, *extra)])
-    scored = M.score_candidates(p, EMPLOYEE).where(F.col("field") == field).collect()[0]
+    rows = [("f", column, kind, samples, *extra)]
+    scored = M.score_candidates(profiles(spark, rows), EMPLOYEE, values=frequencies(spark, rows)).where(F.col("field") == field).collect()[0]
     lexical = scored["fuzzy_score"]
     assert scored["score"] == pytest.approx(max(0.0, min(1.0, lexical + want)))
 
@@ -75,6 +80,20 @@ def test_assignment_contest_answers_and_memory(spark):
     assert "work_email" in pending
 
 
+def test_whole_columns_decide(spark):
+    """Eight placeholders first do not hide what a column holds."""
+    odd = ["-", "tbd", "x1", "none given", "??", "a", "b", "c"]
+    rows = [("f", "Employee Name", "string", odd + [f"Aarav Sharma{i}" for i in range(92)]), ("f", "Team", "string", odd + ["Engineering", "Sales"] * 46),
+            ("f", "Reach", "string", odd + [f"m{i}@x.com" for i in range(92)]), ("f", "Reach 2", "string", ["m@x.com"] + [f"no {i}" for i in range(99)])]
+    p = cut(profiles(spark, rows))
+    got = {r["column"]: r for r in p.select("column", M.full_name_column().alias("full"), "shares").collect()}
+    assert got["Employee Name"]["full"] and not got["Team"]["full"] and got["Reach"]["shares"]["format:email"] == pytest.approx(0.92)
+    share = {(r["column"], r["field"]): r["recognised"] for r in M.recognised_shares(frequencies(spark, rows), p, EMPLOYEE, DEFAULT_POLICY).collect()}
+    assert share["Team", "department"] >= 0.92 and share.get(("Reach", "department"), 0) < 0.05
+    score = {(r["column"], r["field"]): r["score"] - r["fuzzy_score"] for r in M.score_candidates(p, EMPLOYEE, values=frequencies(spark, rows)).where("field = 'work_email'").collect()}
+    assert score["Reach", "work_email"] >= -0.01 > score["Reach 2", "work_email"]    # one address in a hundred is no address column
+
+
 def test_full_names_split_unasked(spark):
     p = profiles(spark, [("f", "first name of employee", "string", ["Aarav Sharma"]), ("g", "employee given", "string", ["A B"])])
     assert [r[0] for r in p.select(M.full_name_column()).collect()] == [False, False]

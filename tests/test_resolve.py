@@ -7,7 +7,7 @@ from loomfold.lineage import cut, salted_lookup
 from loomfold.operators import resolve as E
 from loomfold.operators.answers import answers_frame
 from loomfold.operators.components import connected_components
-from loomfold.operators.references import cycle_subjects, orphan_references, orphan_refs, reference_cycles, reference_graph
+from loomfold.operators.references import cycle_members, cycle_subjects, orphan_references, orphan_refs, reference_cycles, reference_graph
 from loomfold.specs.employee import EMPLOYEE
 
 COLS = ("_source", "_file", "_ord", "employee_code", "work_email", "pan", "first_name", "last_name", "date_of_birth", "date_of_joining", "grade")
@@ -76,12 +76,45 @@ def test_long_source_lists_and_cycles_are_whole(spark, monkeypatch):
     items = [{"_source": f"a.csv#{i:04d}", "employee_code": "E0"} for i in range(1_200)]
     monkeypatch.setattr(identity, "derive", lambda *_: rows(spark, items, 4))
     monkeypatch.setattr(identity, "PARTY", EMPLOYEE)
-    (got,) = identity.record_sources(spark, "").collect()
-    assert sorted(got["source_rows"].split("; ")) == [x["_source"] for x in items]
+    got = identity.record_sources(spark, "").collect()
+    assert [r["source"] for r in sorted(got, key=lambda r: r["position"])] == [x["_source"] for x in items] and {r["position"] for r in got} == set(range(1, 1_201))
     ring = spark.range(1_200).select(F.col("id").cast("string").alias("node"), F.format_string("k%04d", "id").alias("key"), F.col("id").alias("_rid"))
     (named,) = cycle_subjects(ring.select("node", F.lit("0").alias("cycle")), ring).collect()
     keys = [f"k{i:04d}" for i in range(1_200)]
     assert named["keys"] == keys and named["subject"] == "cycle:" + "|".join(keys) and named["n_members"] == 1_200
+    listed = cycle_members(ring.select("node", F.lit("0").alias("cycle")), ring).collect()
+    assert [(r["position"], r["key"]) for r in sorted(listed)] == [(i + 1, k) for i, k in enumerate(keys)]
+
+
+def test_positions_in_a_group_of_a_third_of_all_rows(spark):
+    """Hot, null, equal and single groups: places by order, and the hot group spans tasks."""
+    from pyspark.sql import functions as F
+    from loomfold.operators.positions import positions
+
+    rows_ = [("hot", i * 7 % 1000, "x") for i in range(1000)] + [(None, i, "x") for i in range(50)] + [(f"g{i % 700}", i, "x") for i in range(1400)] + [("same", 1, "x")] * 500 + [("n", None, "x"), ("n", 0, "x")]
+    df = spark.createDataFrame(rows_, "g string, o int, _at string").repartition(5)
+    got = positions(df.withColumnRenamed("_at", "other"), ["g"], ["o"])
+    assert got.columns == ["g", "o", "other", "position"]
+    seen = {}
+    for r in got.collect():
+        seen.setdefault(r["g"], []).append((r["position"], r["o"]))
+    for g, found in seen.items():
+        found.sort()
+        assert [p for p, _ in found] == list(range(1, len(found) + 1))
+        assert [o for _, o in found] == sorted((o for k, o, _ in rows_ if k == g), key=lambda o: (o is not None, o or 0)), g
+    assert positions(df.limit(0).drop("_at"), ["g"], ["o"]).count() == 0
+
+
+def test_trees_are_peeled_before_pointers_are_doubled(spark):
+    """One root over all rows, a star of chains and cycles with tails: the same cycles, and no task meets the trees."""
+    from loomfold.operators.references import peeled, reference_cycles
+
+    step = [(f"t{i}", f"t{(i - 1) // 5}") for i in range(1, 2000)] + [(f"s{c}-{i}", f"s{c}-{i - 1}" if i else "t0") for c in range(20) for i in range(40)]
+    step += [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "x"), ("me", "me")] + [(f"tail{i}", "a" if i == 0 else f"tail{i - 1}") for i in range(30)]
+    graph = spark.createDataFrame([(*s, s[0], s[0]) for s in step] + [("t0", "", "t0", "t0")], "node string, points_to string, key string, _rid string")
+    assert {(r["node"], r["cycle"]) for r in reference_cycles(graph).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    rest, n = peeled(graph.where("points_to <> '' AND points_to <> node").selectExpr("node", "points_to AS next"))
+    assert n == rest.count() and rest.where("node LIKE 't%' AND node NOT LIKE 'tail%'").count() == 0
 
 
 @pytest.mark.parametrize("seed", [1, 2])

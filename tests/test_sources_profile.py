@@ -55,13 +55,20 @@ def test_profile(spark, parts):
     src = _source(spark, "f.csv", rows, ["code", "mail", "day", "PAN flag", "mobile", "amount"]).repartition(parts)
     got = {r["column"]: r for r in OP.profile_columns({"f.csv": src}).collect()}
     assert {c: r["inferred_type"] for c, r in got.items()} == {"code": "id", "mail": "email", "day": "date", "PAN flag": "number", "mobile": "phone", "amount": "number"}
-    assert (got["mail"]["row_count"], got["mail"]["non_null"], got["mail"]["cardinality"]) == (9, 6, 2) and got["mail"]["raw_samples"] == ["a@x.com", "b@x.com"]
-    assert got["code"]["raw_samples"] == [f"E{1000 + i}" for i in range(8)] and got["code"]["samples"] == [f"E{1000 + i}" for i in range(5)]
-    assert got["PAN flag"]["pii_kind"] == "pan" and got["PAN flag"]["samples"] == ["*", "*"] and got["PAN flag"]["raw_samples"] == ["0", "1"]
+    assert (got["mail"]["row_count"], got["mail"]["non_null"], got["mail"]["cardinality"]) == (9, 6, 2) and got["mail"]["samples"] == ["a@x.com", "b@x.com"]
+    assert got["mail"]["shares"]["format:email"] == 1.0 and got["code"]["samples"] == [f"E{1000 + i}" for i in range(5)]
+    assert got["PAN flag"]["pii_kind"] == "pan" and got["PAN flag"]["samples"] == ["*", "*"]
     approx = {r["column"]: r for r in OP.profile_columns_approx({"f.csv": src}).collect()}
     assert {c: r["inferred_type"] for c, r in approx.items()} == {c: r["inferred_type"] for c, r in got.items()} and approx["code"]["cardinality"] == 9
 
 
+def test_placeholders_first_do_not_unmask_a_column(spark):
+    values = ["n/a", "-", "x", "tbd", "?", "1", "2", "3"] + [f"{10 ** 13 + i}" for i in range(60)]
+    src = _source(spark, "f", [(v,) for v in values], ["reference"])
+    (row,) = OP.profile_columns({"f": src}).collect()
+    assert row["pii_kind"] == "bank_account" and row["samples"][0] == "***"
+
+
 @pytest.mark.parametrize("values,convention,anchors,outcome", [
     (["15/03/2021", "03/04/2021", "05/06/2020", "22/11/2019"], "DMY", 2, "ask"), (["03/04/2021", "05/06/2020"], None, 0, "ask"),
     (["15/03/2021", "16/03/2021", "17/03/2021", "03/04/2021"], "DMY", 3, "inferred"), (["2021-03-15", "2020-06-05"], "ISO", 0, "iso"),

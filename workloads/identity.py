@@ -89,11 +89,11 @@ def document_entities(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {ctes('exports')}, {_IDS}, {_RANKED}
-  SELECT root, string_agg(_source, '; ' ORDER BY k) AS source_rows FROM r GROUP BY root""")
+  SELECT root, k AS position, _source AS source FROM r""")
 def record_sources(spark, sf):
-    """The source list of each record, most complete row first."""
+    """The source rows of each record, most complete first, as a long table."""
     records, members = E.resolve_records(derive(spark, sf, "exports"), PARTY)
-    return records.join(E.source_lists(members), "_rid", "left").select(F.col("_seq").alias("root"), F.array_join("sources", "; ").alias("source_rows"))
+    return E.source_rows(members).join(records.select("_rid", F.col("_seq").alias("root")), "_rid").select("root", "position", "source")
 
 
 # -- J2, J3, A13 -------------------------------------------------------------
@@ -250,6 +250,16 @@ def reference_cycles(spark, sf):
     return R.reference_cycles(R.reference_graph(derive(spark, sf, "reports"), "work_email", "manager_email"))
 
 
+@query(f"""WITH RECURSIVE {ctes('reports')}, f AS (SELECT lower(work_email) AS node, trim(lower(manager_email)) AS nxt FROM reports),
+  w AS (SELECT node AS start, nxt AS cur, 1 AS steps, node AS least FROM f WHERE nxt <> '' UNION ALL
+    SELECT w.start, f.nxt, w.steps + 1, least(w.least, f.node) FROM w JOIN f ON f.node = w.cur WHERE w.steps < 12 AND w.cur <> w.start AND f.nxt <> '')
+  SELECT least AS cycle, row_number() OVER (PARTITION BY least ORDER BY r.key) AS position, r.key FROM w JOIN reports r ON lower(r.work_email) = start WHERE cur = start AND steps > 1""")
+def cycle_members(spark, sf):
+    """Q12: the options of each cycle as rows."""
+    graph = cut(R.reference_graph(derive(spark, sf, "reports"), "work_email", "manager_email"))
+    return R.cycle_members(R.reference_cycles(graph), graph)
+
+
 # -- matching ----------------------------------------------------------------
 
 _CENT = """u AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -313,7 +323,7 @@ def threshold_sweep(spark, sf):
 
 
 _MAPS = """SELECT 'map:' || p_brand || ':' || upper(p_name) AS subject, min(CASE WHEN p_size % 2 = 0 THEN 'segment' ELSE 'full_name' END) AS value FROM {part}
-  WHERE p_partkey % 3 = 0 GROUP BY p_brand, p_name"""
+  GROUP BY p_brand, p_name"""
 _COLS = "SELECT DISTINCT p_brand AS file, replace(p_name, ' ', '_') AS \"column\" FROM {part}"
 
 

@@ -67,23 +67,24 @@ s AS (SELECT file, "column", CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(CASE
   sum(CASE WHEN ok AND regexp_matches(value, '^\\+?[\\d\\s\\-()]{9,20}$') THEN n ELSE 0 END) AS phone,
   coalesce(bool_or(CASE WHEN ok THEN len(regexp_replace(value, '\\D', '', 'g')) >= 10 END), false) AS long,
   sum(CASE WHEN ok AND regexp_matches(value, '^[A-Za-z]{1,4}[-_]?\\d{2,}$') THEN n ELSE 0 END) AS ids,
-  sum(CASE WHEN ok AND regexp_matches(value, '^-?\\d+(\\.\\d+)?$') THEN n ELSE 0 END) AS num
+  sum(CASE WHEN ok AND regexp_matches(value, '^-?\\d+(\\.\\d+)?$') THEN n ELSE 0 END) AS num,
+  sum(CASE WHEN ok AND regexp_matches(upper(value), '^[A-Z]{5}[0-9]{4}[A-Z]$') THEN n ELSE 0 END) AS s_pan,
+  sum(CASE WHEN ok AND regexp_matches(value, '^\\d{4}\\s?\\d{4}\\s?\\d{4}$') THEN n ELSE 0 END) AS s_aadhaar,
+  sum(CASE WHEN ok AND regexp_matches(value, '^\\d{12}$') THEN n ELSE 0 END) AS s_uan,
+  sum(CASE WHEN ok AND regexp_matches(value, '^\\d{9,18}$') THEN n ELSE 0 END) AS s_bank
   FROM r GROUP BY ALL),
 f AS (SELECT file, "column", list(value ORDER BY min_pos) AS samples FROM (
-  SELECT *, row_number() OVER (PARTITION BY file, "column" ORDER BY min_pos) AS k FROM r WHERE ok) WHERE k <= 8 GROUP BY ALL),
+  SELECT *, row_number() OVER (PARTITION BY file, "column" ORDER BY min_pos) AS k FROM r WHERE ok) WHERE k <= 5 GROUP BY ALL),
 k AS (SELECT s.*, coalesce(f.samples, []) AS samples, replace(lower(s."column"), '_', ' ') AS h FROM s LEFT JOIN f USING (file, "column")),
 p AS (SELECT *, CASE WHEN contains(h, 'pan') OR contains(h, 'permanent account') THEN 'pan' WHEN contains(h, 'aadhaar') OR contains(h, 'aadhar') OR contains(h, 'uid') THEN 'aadhaar'
     WHEN contains(h, 'uan') OR contains(h, 'provident') OR contains(h, 'pf number') OR contains(h, 'pf no') THEN 'uan'
     WHEN contains(h, 'bank') OR contains(h, 'account no') OR contains(h, 'salary account') OR contains(h, 'ac no') THEN 'bank_account'
-    WHEN len(samples) = 0 THEN NULL
-    WHEN len(list_filter(samples, lambda v: regexp_matches(upper(v), '^[A-Z]{5}[0-9]{4}[A-Z]$'))) / len(samples) >= 0.8 THEN 'pan'
-    WHEN len(list_filter(samples, lambda v: regexp_matches(v, '^\\d{4}\\s?\\d{4}\\s?\\d{4}$'))) / len(samples) >= 0.8 THEN 'aadhaar'
-    WHEN len(list_filter(samples, lambda v: regexp_matches(v, '^\\d{12}$'))) / len(samples) >= 0.8 THEN 'uan'
-    WHEN len(list_filter(samples, lambda v: regexp_matches(v, '^\\d{9,18}$'))) / len(samples) >= 0.8 THEN 'bank_account' END AS pii_kind FROM k)
+    WHEN non_null = 0 THEN NULL WHEN s_pan / non_null >= 0.8 THEN 'pan' WHEN s_aadhaar / non_null >= 0.8 THEN 'aadhaar'
+    WHEN s_uan / non_null >= 0.8 THEN 'uan' WHEN s_bank / non_null >= 0.8 THEN 'bank_account' END AS pii_kind FROM k)
 SELECT file, "column", row_count, non_null, cardinality,
   CASE WHEN non_null = 0 THEN 'string' WHEN email / non_null >= 0.7 THEN 'email' WHEN dates / non_null >= 0.7 THEN 'date' WHEN phone / non_null >= 0.7 AND long THEN 'phone'
     WHEN ids / non_null >= 0.7 THEN 'id' WHEN num / non_null >= 0.9 THEN 'number' ELSE 'string' END AS inferred_type, pii_kind,
-  array_to_string(list_transform(samples[1:5], lambda v: CASE WHEN pii_kind IS NULL THEN v ELSE """ + mask_sql("v") + """ END), '|') AS samples FROM p"""
+  array_to_string(list_transform(samples, lambda v: CASE WHEN pii_kind IS NULL THEN v ELSE """ + mask_sql("v") + """ END), '|') AS samples FROM p"""
 
 
 def _profile(df):
