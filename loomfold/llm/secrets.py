@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -65,12 +66,15 @@ def base_spans(text: bytes, rules: SecretRules) -> list[tuple[int, int, int]]:
     return found
 
 
-_NAME = rb"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*"
-#: ``name [: type] op``, where the name may be quoted or an element of a table (``x["name"]``).
-_TARGET = re.compile(rb"""["']?(""" + _NAME + rb""")["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]<>]*+[ \t]*+(?==[^=>])|)(:=|=>|=(?!=)|:(?!:|//))[ \t]*+""")
+_NAME = rb"[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z_$][A-Za-z0-9_$]*+)*"
+#: ``name [: type] op``, where the name may be quoted or an element of a table (``x["name"]``).  A name
+#: starts where no word is before it, so a long run of letters is read once.
+_TARGET = re.compile(rb"""(?<![A-Za-z0-9_$])(?<![A-Za-z0-9_$][.-])(?:[0-9]++[.-]?)*+([A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][0-9]*+[A-Za-z_$][A-Za-z0-9_$]*+)*+)["']?\]?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]<>]*+[ \t]*+(?==[^=>])|)(:=|=>|=(?!=)|:(?!:|//))[ \t]*+""")
 _PART = re.compile(rb"""(?:[rbfuRBFU]{0,2})(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|\$\{?(""" + _NAME + rb""")\}?|(""" + _NAME + rb""")(?![\w(\[])|([A-Za-z0-9+/_.=~!@%^&*-]+)""")
 _JOIN = re.compile(rb"""[ \t]*(?:\+|\.\.|\.|[ \t](?=["']))[ \t]*""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: How keys of a cloud's accounts start, in either case.
+_KEY_FORM = re.compile(rb"(?i)^(?:AKIA|ASIA)[A-Z0-9]{8,}$")
 #: Literals that stand for a secret and are none.
 _STAND_INS = re.compile(rb"(?i)^(?:true|false|null|none|undefined|nil|test|todo|change[-_ ]?me|example.*|sample.*|dummy.*|placeholder.*|your[-_ ].*|x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 
@@ -81,13 +85,14 @@ def name_weight(name: str, rules: SecretRules) -> float:
 
 
 def literal_weight(value: bytes, rules: SecretRules) -> float:
-    """What a literal's own letters say: mixed classes and high entropy speak for a secret, spaces and stand-ins against."""
+    """What a literal's own letters say: the form of an access key, mixed classes and high entropy speak for a secret, spaces and stand-ins against."""
     if len(value) < rules.literal_chars or _STAND_INS.match(value) or any(c in value for c in b" \t") or b"://" in value:
         return -math.inf
     counts = Counter(value).values() if len(value) <= 4096 else [n for n in np.bincount(np.frombuffer(value, np.uint8)).tolist() if n]
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
     classes = sum(bool(re.search(p, value)) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
-    return (0.5 if classes >= 2 else -0.5) + (0.5 if classes >= 3 else 0.0) + (1.0 if entropy >= 3.0 else 0.0 if entropy >= 2.5 else -1.0)
+    known = 1.5 if _KEY_FORM.match(value) else 0.0
+    return known + (0.5 if classes >= 2 else -0.5) + (0.5 if classes >= 3 else 0.0) + (1.0 if entropy >= 3.0 else 0.0 if entropy >= 2.5 else -1.0)
 
 
 def lexed_pairs(text: bytes) -> list[tuple[str, list]]:
@@ -206,7 +211,12 @@ def literal_spans(text: bytes, rules: SecretRules) -> list[tuple[int, int, int]]
 def spans_of(text: bytes, rules: SecretRules) -> list[tuple[int, int, int]]:
     """All spans in code points by start, then kind; a literal inside a base span is not told again."""
     base = base_spans(text, rules)
-    more = [s for s in literal_spans(text, rules) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    starts, ends = [], []
+    for a, b, _ in sorted(base):                                              # the furthest end of the spans up to each start
+        starts.append(a)
+        ends.append(max(b, ends[-1] if ends else 0))
+    inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and b <= ends[k - 1]
+    more = [s for s in literal_spans(text, rules) if not inside(s[0], s[1])]
     spans = sorted(base + more, key=lambda s: (s[0], s[2], s[1]))
     if not spans or text.isascii():
         return spans

@@ -129,6 +129,15 @@ def test_base_spans(spark, odd, documents):
         assert base == plain_spans(r.text or "")
 
 
+def test_long_runs_are_lexed_once():
+    """Texts of a megabyte without a word break, with nothing but operators or quotes, take about a second each."""
+    import time
+    for text in (b"a" * 1_000_000, b"a." * 500_000, b"a1." * 300_000, b"a=" * 300_000, b'k="' * 200_000, b"a:" * 300_000, b"token " * 200_000, b"key" + b"x" * 500_000 + b"(=1"):
+        started = time.perf_counter()
+        secrets.spans_of(text, secrets.SecretRules())
+        assert time.perf_counter() - started < 20, text[:10]
+
+
 def test_lexed_literals(spark):
     spans = secrets.spans_of(CODE.encode(), secrets.SecretRules())
     assert {CODE[a:b] for a, b, k in spans if k == 3} == {"hunter2-Zx81!q", "Q9x7Lm2", "Vb4Nt8Rk"}
