@@ -69,9 +69,10 @@ class _Words(dict):
         self.hash, self.first, self.tokens_of = np.empty(4096, np.uint64), np.empty(4096, np.int64), np.empty(4096, np.int64)
         self.pieces_of, self.fallback_of, self.tokens = np.empty(4096, np.int64), np.empty(4096, np.int64), np.empty(16384, np.int32)
 
+    def full(self, more: int) -> bool:
+        return self.n + more > self.most or self.bytes > self.most_bytes
+
     def learn(self, words: list[bytes]) -> None:
-        if self.n + len(words) > self.most or self.bytes > self.most_bytes:
-            self.reset()
         bpe, sp, fallback = _encoders(self.rules.ranks, self.rules.pieces)
         texts = [w.decode("utf-8", "replace") for w in words]
         tokens = [bpe.encode_ordinary(" " + t) for t in texts]
@@ -179,11 +180,11 @@ def _measurer(rules: FertilityRules):
                 split = [t.split() for t in texts[a:b]]
                 every = set().union(*split)
                 new = [w for w in every if w not in known]
+                if new and known.full(len(new)):                        # emptied before a run, never within: a run of very many words may pass the bounds
+                    known.reset()
+                    new = list(every)
                 if new:
-                    held = known.n
                     known.learn(new)
-                    if known.n < held + len(new):                       # it was emptied: number the run's other words again
-                        known.learn([w for w in every if w not in known])
                 rows += map(one, texts[a:b], split)
             return dict(zip(NAMES, zip(*rows))) if rows else {c: [] for c in NAMES}
         return step

@@ -129,6 +129,17 @@ def test_base_spans(spark, odd, documents):
         assert base == plain_spans(r.text or "")
 
 
+def test_more_words_than_a_table_holds(spark):
+    """A batch of many words, then a text of more distinct ones than are remembered, then the first again: measured like alone."""
+    from loomfold.llm import fertility
+    few, many = " ".join(f"a{i}" for i in range(60_000)), " ".join(f"w{i}" for i in range(260_000))
+    rows = [(1, few, "en"), (2, many, "en"), (3, few, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    together = {r.doc_id: tuple(r)[1:] for r in fertility.measure(df.coalesce(1), with_columns=["doc_id"]).collect()}
+    alone = {r.doc_id: tuple(r)[1:] for r in fertility.measure(df.repartition(3, "doc_id"), with_columns=["doc_id"]).collect()}
+    assert together == alone and together[1] == together[3] and together[2][0] == 260_000
+
+
 def test_long_runs_are_lexed_once():
     """Texts of a megabyte without a word break, with nothing but operators or quotes, take about a second each."""
     import time
