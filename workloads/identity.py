@@ -7,11 +7,9 @@ from pyspark.sql import Window, functions as F
 from loomfold.functions.similarity import plain_ratio, score_pairs
 from loomfold.lineage import cut
 from loomfold.operators import answers as A, match as M, references as R, resolve as E
-from loomfold.operators.profile import profile_columns
-from loomfold.sources.tables import from_table
 from workloads.inputs import ctes, derive, plain, sql, table
 from workloads.specs import DOCUMENT, PARTY, TRADE
-from workloads.values import ratio_sql
+from workloads.values import lcs_sql, ratio_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -187,11 +185,42 @@ def score_distinct_pairs(spark, sf):
     return pairs.join(distinct, ["a", "b"]).select("p_partkey", "plain")
 
 
-@query()
+_SORTED = "array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda w: w <> '')), ' ')"
+_ONCE = "list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> '')))"
+def weighted_ctes(pairs: str) -> str:
+    """SQL: ``scored`` (a, b, score, words) for the distinct non-empty pairs (a, b) that ``pairs`` selects: weighted blend and word-sorted ratio."""
+    return f"""x AS ({pairs}),
+  q AS (SELECT a, b, {_ONCE.format(x='a')} AS wa, {_ONCE.format(x='b')} AS wb, greatest(len(a), len(b)) / least(len(a), len(b)) AS spread FROM x),
+  f AS (SELECT a, b, spread, 'plain' AS form, a AS x, b AS y FROM q UNION ALL SELECT a, b, spread, 'sorted', {_SORTED.format(x='a')}, {_SORTED.format(x='b')} FROM q
+    UNION ALL SELECT a, b, spread, 'once', array_to_string(wa, ' '), array_to_string(wb, ' ') FROM q),
+  o AS (SELECT a, b, form, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS s, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS l FROM f WHERE spread >= 1.5),
+  w AS (SELECT a, b, form, s, substring(l, greatest(0, i) + 1, least(len(l), i + len(s)) - greatest(0, i)) AS win FROM o, unnest(range(1 - len(s), len(l))) AS r(i)),
+  d AS (SELECT s, win, {ratio_sql('s', 'win')} AS score FROM (SELECT DISTINCT s, win FROM w)),
+  p AS (SELECT a, b, max(CASE WHEN form = 'plain' THEN score END) AS part, max(CASE WHEN form <> 'plain' THEN score END) AS part_words FROM w JOIN d USING (s, win) GROUP BY a, b),
+  t AS (SELECT a, b, spread, len(list_intersect(wa, wb)) AS common, len(array_to_string(list_intersect(wa, wb), ' ')) AS sh, array_to_string(list_filter(wa, lambda v: NOT list_contains(wb, v)), ' ') AS ra,
+    array_to_string(list_filter(wb, lambda v: NOT list_contains(wa, v)), ' ') AS rb, {ratio_sql('a', 'b')} AS plain FROM q),
+  u AS (SELECT *, CASE WHEN common > 0 THEN 1 ELSE 0 END AS gap, sh + CASE WHEN common > 0 THEN 1 ELSE 0 END + len(ra) AS la, sh + CASE WHEN common > 0 THEN 1 ELSE 0 END + len(rb) AS lb, {lcs_sql('ra', 'rb')} AS c FROM t),
+  z AS (SELECT u.*, CASE WHEN common > 0 AND (ra = '' OR rb = '') THEN 100.0 ELSE greatest(100 - 100.0 * (len(ra) + len(rb) - 2 * c) / (la + lb),
+      CASE WHEN common > 0 THEN 100 - 100.0 * (1 + len(ra)) / (sh + la) ELSE 0 END, CASE WHEN common > 0 THEN 100 - 100.0 * (1 + len(rb)) / (sh + lb) ELSE 0 END) END AS sets,
+    g.words FROM u JOIN (SELECT a, b, {ratio_sql('x', 'y')} AS words FROM f WHERE form = 'sorted') g USING (a, b)),
+  scored AS (SELECT z.a, z.b, CASE WHEN spread < 1.5 THEN greatest(plain, 0.95 * greatest(words, sets))
+    ELSE greatest(plain, CASE WHEN spread <= 8 THEN 0.9 ELSE 0.6 END * part, 0.95 * CASE WHEN spread <= 8 THEN 0.9 ELSE 0.6 END * CASE WHEN common > 0 THEN 100 ELSE part_words END) END AS score, words
+    FROM z LEFT JOIN p USING (a, b))"""
+
+
+_WEIGHTED = weighted_ctes("""SELECT DISTINCT lower(p_type) AS a, lower(p_name) AS b FROM part UNION SELECT DISTINCT lower(p_name), lower(p_type || ' ' || p_name) FROM part
+    UNION SELECT DISTINCT lower(p_name), lower(substring(p_brand, 7) || ' ' || p_name) FROM part""")
+
+
+@query(f"""WITH {_WEIGHTED} SELECT p_partkey, round(v.score, 4) AS by_type, round(w.score, 4) AS by_label, round(y.score, 4) AS by_number FROM part
+  JOIN scored v ON v.a = lower(p_type) AND v.b = lower(p_name) JOIN scored w ON w.a = lower(p_name) AND w.b = lower(p_type || ' ' || p_name)
+  JOIN scored y ON y.a = lower(p_name) AND y.b = lower(substring(p_brand, 7) || ' ' || p_name)""")
 def weighted_scores(spark, sf):
-    """the weighted blend for every distinct (type, name); no SQL form."""
-    pairs = table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("a"), F.lower("p_name").alias("b"))
-    return score_pairs(pairs, "a", "b").select("p_partkey", F.round("similarity", 4).alias("similarity"))
+    """the weighted blend of every part's name with its type, with both together and with a number before it."""
+    parts = table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("a"), F.lower("p_name").alias("b"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("c"), F.lower(F.concat_ws(" ", F.substr("p_brand", F.lit(7)), "p_name")).alias("d"))
+    by_type = score_pairs(parts, "a", "b", "by_type")
+    scored = score_pairs(score_pairs(by_type, "b", "c", "by_label"), "b", "d", "by_number")
+    return scored.select("p_partkey", *[F.round(c, 4).alias(c) for c in ("by_type", "by_label", "by_number")])
 
 
 # -- J10, J16 ----------------------------------------------------------------
@@ -296,15 +325,13 @@ def ranked_candidates(spark, sf):
     return top.select(F.col("column").alias("vec_id"), "field", F.round("relative", 6).alias("top"), F.round(margin, 6).alias("margin"), verdict.alias("verdict"))
 
 
-def _catalog(spark, sf):
-    named = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "nation": "n_nationkey", "region": "r_regionkey"}
-    return profile_columns({t: from_table(table(spark, sf, t), t, key) for t, key in named.items()})
-
-
 @query()
 def assign_columns(spark, sf):
     """Whole tables profiled, their columns matched."""
-    out = M.match_columns(cut(_catalog(spark, sf)), TRADE)
+    from workloads.catalog import catalog
+
+    profiles, vf = catalog(spark, sf)
+    out = M.match_columns(profiles, TRADE, values=vf)
     return out.select("file", "column", "target_field", "disposition", F.round("confidence", 4).alias("confidence"), F.round("margin", 4).alias("margin"), "provenance", "contest")
 
 
@@ -316,9 +343,11 @@ _TRUTH = {("customer", "c_custkey"): "party_key", ("customer", "c_name"): "party
 @query()
 def threshold_sweep(spark, sf):
     """9 x 7 grid, one small group per cell and file."""
-    profiles = cut(_catalog(spark, sf))
+    from workloads.catalog import catalog
+
+    profiles, vf = catalog(spark, sf)
     truth = spark.createDataFrame([(f, c, e) for (f, c), e in _TRUTH.items()], "file string, column string, expected string")
-    return M.sweep_thresholds(profiles, cut(M.score_candidates(profiles, TRADE)), truth, TRADE, [0.60, 0.65, 0.70, 0.75, 0.78, 0.82, 0.86, 0.90, 0.95],
+    return M.sweep_thresholds(profiles, cut(M.score_candidates(profiles, TRADE, values=vf)), truth, TRADE, [0.60, 0.65, 0.70, 0.75, 0.78, 0.82, 0.86, 0.90, 0.95],
                               [0.00, 0.04, 0.08, 0.12, 0.16, 0.20, 0.30])
 
 
