@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomfold.functions.text import col, filled, generalise, idempotency_key, strip, text_of
-from loomfold.lineage import cut
+from loomfold.lineage import cut, small
 from loomfold.spec import DEFAULT_POLICY, Policy, SchemaSpec
 
 Send = Callable[[str, str], tuple[int, dict]]
@@ -74,6 +74,13 @@ def push(batch: DataFrame, send: Send, policy: Policy = DEFAULT_POLICY, sleep: C
     return cut(sent.withColumn("outcome", classify(F.col("status"), policy)))
 
 
+def _met(target: DataFrame, batch: DataFrame, key: str, policy: Policy) -> DataFrame:
+    """The target's rows that a batch can meet.  A batch of a checked size travels to the target, which is
+    then filtered where it lies; a larger one is joined as a table of its size."""
+    keys = batch.select(key)
+    return target.join(F.broadcast(keys.distinct()), key, "left_semi") if small(keys, policy.broadcast_rows) else target
+
+
 def load_into_table(batch: DataFrame, target: DataFrame, policy: Policy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
     """Classify a batch (key, code, idempotency, _seq) against (code, target_id, idempotency).
 
@@ -82,23 +89,27 @@ def load_into_table(batch: DataFrame, target: DataFrame, policy: Policy = DEFAUL
     first record of a code is created and later ones meet it.  Returns the
     outcomes and the rows to append to the target.
     """
-    coded = batch.withColumn("code", strip(text_of(F.col("code"))))
-    done = target.where("idempotency IS NOT NULL").groupBy("idempotency").agg(F.min("target_id").alias("_done"))
-    have = target.groupBy("code").agg(F.lit(True).alias("_have"))
+    every = batch.withColumn("code", strip(text_of(F.col("code"))))
+    blank, coded = every.where("code = ''"), every.where("code <> ''")         # blank codes need no look at the target: they would all meet in one task
+    known = _met(target.where("idempotency IS NOT NULL"), coded, "idempotency", policy)
+    done = known.groupBy("idempotency").agg(F.min("target_id").alias("_done"))
+    have = _met(target, coded, "code", policy).groupBy("code").agg(F.lit(True).alias("_have"))
     # only codes that repeat inside the batch need an order among themselves
-    first = (coded.where("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("_seq", "idempotency"), "_seq").alias("_first"))
+    first = (coded.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("_seq", "idempotency"), "_seq").alias("_first"))
              .where("_n > 1").select("code", "_first"))
     new_id = F.concat(F.lit("TGT-"), F.upper(F.substring(F.sha2(F.col("idempotency"), 256), 1, 12)))
     joined = (coded.join(done, "idempotency", "left").join(have, "code", "left").join(first, "code", "left")
               .withColumn("_later", F.coalesce(F.col("_seq") > F.col("_first._seq"), F.lit(False)))
               .withColumn("_again", F.col("_later") & F.col("_have").isNull() & (F.col("idempotency") == F.col("_first.idempotency"))))
     replay = F.col("_done").isNotNull() | F.col("_again")
-    status = (F.when(F.col("code") == "", 422).when(replay, 200).when(F.col("_have").isNotNull() | F.col("_later"), 409).otherwise(201))
+    status = (F.when(replay, 200).when(F.col("_have").isNotNull() | F.col("_later"), 409).otherwise(201))
     taken = F.concat(F.lit("code "), "code", F.lit(" already exists in the target"))
     out = joined.withColumn("status", status).select(
         "key", "code", "status", F.when(F.col("status") == 200, F.coalesce("_done", new_id)).when(F.col("status") == 201, new_id).alias("target_id"),
-        F.when(F.col("status") == 422, "code is required").when(F.col("status") == 409, taken).alias("message"),
-        classify(F.col("status"), policy).alias("outcome"), "idempotency")
+        F.when(F.col("status") == 409, taken).alias("message"), classify(F.col("status"), policy).alias("outcome"), "idempotency")
+    refused = blank.withColumn("status", F.lit(422)).select(
+        "key", "code", "status", F.lit(None).cast("string").alias("target_id"), F.lit("code is required").alias("message"), classify(F.col("status"), policy).alias("outcome"), "idempotency")
+    out = out.unionByName(refused)
     created = out.where("status = 201").select("code", "target_id", "idempotency")
     return out, created
 
@@ -151,7 +162,8 @@ def rollback(records: DataFrame, keys: DataFrame, target: DataFrame, reason: str
                                   "push_detail": F.when(F.col("_back"), F.lit(reason)).otherwise(F.col("push_detail"))}).select(*records.columns)
     audit = marked.where("_back").select(F.lit("rollback_record").alias("action"), "key", F.lit("success").alias("before"),
                                          F.lit("rolled_back").alias("after"), F.lit(reason).alias("rationale")).distinct()
-    return updated, target.join(gone, "code", "left_anti"), audit
+    taken = F.broadcast(gone) if small(keys.select("key"), DEFAULT_POLICY.broadcast_rows) else gone        # at most a code a key: the target is not shuffled
+    return updated, target.join(taken, "code", "left_anti"), audit
 
 
 def retry_targets(records: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 # the rest runs with LOOMFOLD_ALL=1 (and in verify.py)
 QUICK = {"row_provenance", "csv_provenance", "normalise_values", "split_names", "read_dates", "date_convention", "mask_columns", "document_entities", "shared_id_conflict", "orphan_references",
          "apply_merges", "candidate_scores", "validate_rows", "repair_rows", "load_outcomes", "plan_buckets", "value_rules", "dedupe_questions", "audit_counts",
-         "open_partners", "near_duplicate_records", "pending_fields", "name_order", "cosmetic_changes", "reference_answers", "breaker"}
+         "open_partners", "near_duplicate_records", "pending_fields", "name_order", "cosmetic_changes", "reference_answers", "breaker",
+         "record_sources", "cycle_members", "weighted_scores", "questions_words", "questions_references", "questions_batch", "push_audit", "merge_all_edges"}
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 

@@ -270,3 +270,19 @@ def test_store(spark, tmp_path):
     assert store.read("records", "r1").count() == 0
     with pytest.raises(ValueError):
         store.seed_answers("r1", answers_frame(spark, {}))
+
+
+def test_a_batch_is_looked_up_without_shuffling_the_target(spark):
+    """A third of the batch without a code, a known key and a known code: same answers either way, and the target stays where it is."""
+    from dataclasses import replace
+
+    from loomfold.operators import load as L
+    from loomfold.spec import DEFAULT_POLICY
+
+    batch = spark.createDataFrame([(f"k{i}", "  " if i % 3 == 0 else f"C{i % 50}", f"run:{i}", i) for i in range(300)], "key string, code string, idempotency string, _seq long")
+    target = spark.range(5000).selectExpr("concat('C', id * 7) AS code", "concat('T', id) AS target_id", "concat('run:', id * 11) AS idempotency")
+    told = lambda p: sorted(tuple(r) for r in L.load_into_table(batch, target, p)[0].select("key", "code", "status", "target_id", "message").collect())
+    near, far = told(DEFAULT_POLICY), told(replace(DEFAULT_POLICY, broadcast_rows=10))
+    assert near == far and sum(r[2] == 422 for r in near) == 100 and {r[2] for r in near} == {200, 201, 409, 422}
+    plan = L._met(target, batch, "code", DEFAULT_POLICY)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]

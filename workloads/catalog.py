@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.lineage import cut, keep
-from loomfold.operators import judge as J, match as M, references as R, resolve as E, validate as V, vocabulary as VO
+from loomfold.operators import judge as J, load as L, match as M, references as R, resolve as E, validate as V, vocabulary as VO
 from loomfold.operators.dates import column_votes, decide_conventions
 from loomfold.operators.profile import profile_columns, value_frequency
 from loomfold.plans import questions as Q
@@ -158,3 +158,37 @@ def questions_batch(spark, sf):
     total = table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n"))
     rate = J.batch_rate(sql(spark, sf, review._QUEUE), sql(spark, sf, review._REFS), total)
     return _asked(Q.coverage_question(J.mapping_coverage(derive(spark, sf, "mappings"), PARTY)), Q.rate_question(rate))
+
+
+# -- audit of a load, texts for embeddings, batch answers --------------------
+
+_NAME_FIELDS = ("date_of_birth", "first_name", "last_name", "pan")
+
+@query(f"""WITH {review._OUTCOME} SELECT 'push_record' AS action, key, 'pending' AS before, 'auto' AS disposition, 'accepted ' || code AS rationale FROM o WHERE status < 400""")
+def push_audit(spark, sf):
+    """What a load leaves in the trail; refusals are questions, not entries."""
+    outcomes = L.load_into_table(sql(spark, sf, review._BATCH), sql(spark, sf, review._TARGET))[0]
+    return L.push_audit(outcomes).select("action", "key", "before", "disposition", "rationale")
+
+
+@query(f"""SELECT file, "column", replace("column", '_', ' ') || '. Example values: ' || replace(samples, '|', ', ') AS text FROM ({values.ORACLE['profile_columns']})""")
+def embed_texts(spark, sf):
+    """what a column's vector is made from: its name and masked values."""
+    return M.embed_texts(profile_columns({"customer": from_table(table(spark, sf, "customer"), "customer", "c_custkey"),
+                                          "orders": from_table(table(spark, sf, "orders"), "orders", "o_orderkey")}))
+
+
+
+@query(f"""WITH {identity._NAMED}, top AS (SELECT least(fa, fb) AS x, greatest(fa, fb) AS y FROM pairs WHERE fa <> fb GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1),
+  side AS (SELECT n.*, CASE WHEN n.file = x THEN y ELSE x END AS across, ({' + '.join(f"CASE WHEN m.{f} <> '' THEN 1 ELSE 0 END" for f in _NAME_FIELDS)}) AS full_ FROM n JOIN named m USING (_rid), top WHERE n.file IN (x, y)),
+  d AS (SELECT dob, "first", value_a AS "last", value_b AS other FROM l UNION SELECT dob, "first", value_b, value_a FROM l),
+  met AS (SELECT a._rid AS rid, b._rid AS partner, a.full_ AS fa, a._seq AS sa, b.full_ AS fb, b._seq AS sb,
+      row_number() OVER (PARTITION BY a._rid, d.other ORDER BY b.full_ DESC, b._seq) AS k
+    FROM side a JOIN d ON d.dob = a.dob AND d."first" = a."first" AND d."last" = a."last" JOIN side b ON b.dob = d.dob AND b."first" = d."first" AND b."last" = d.other AND b.file = a.across
+    WHERE a.pan = '' OR a.pan <> b.pan)
+  SELECT DISTINCT CASE WHEN fb > fa OR (fb = fa AND sb < sa) THEN rid ELSE partner END AS member, CASE WHEN fb > fa OR (fb = fa AND sb < sa) THEN partner ELSE rid END AS winner FROM met WHERE k = 1""")
+def merge_all_edges(spark, sf):
+    """J16: "merge every pair" of the two files with most pairs: one edge to the fullest partner of each linked name."""
+    records, named, links = identity._named(spark, sf)
+    top = E.pairs_by_files(named, links).orderBy(F.desc("n_pairs"), "file_a", "file_b").limit(1).collect()
+    return E.merge_all_edges(named, links, top[0]["file_a"], top[0]["file_b"], _NAME_FIELDS)
