@@ -24,10 +24,12 @@ class UrlRules:
 
     ``support``: least share of the labelled URLs that hold a rule's tokens and are blocked;
     ``confidence``: least share of blocked ones among those that hold its tokens.
+    ``least``: URLs a rule must block at any rate: what was seen once is no association.
     """
     listed: tuple[tuple[str, str], ...] = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
     support: float = 0.005
     confidence: float = 0.9
+    least: int = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -62,14 +64,15 @@ def mine(labelled: DataFrame, rules: UrlRules) -> DataFrame:
     rule.  ``labelled`` is read more than once and should be a stored table.
     """
     total = labelled.count()
-    least = max(1, int(rules.support * total))
+    support = max(rules.support, rules.least / max(total, 1))
+    least = max(rules.least, int(rules.support * total))
     often = labelled.where("blocked").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least).select("token")
     # at most (tokens a URL) / support of them, so they fit one row
     words = F.broadcast(often.agg(F.collect_set("token").alias("_often")))
     items = (labelled.join(words).select(F.concat(F.array_intersect("tokens", F.col("_often")),
                                                   F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items"))
              .where(F.size("items") > 0))
-    model = FPGrowth(minSupport=rules.support * 0.999, minConfidence=rules.confidence).fit(items)
+    model = FPGrowth(minSupport=min(1.0, support * 0.999), minConfidence=rules.confidence).fit(items)
     found = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED)))
              .select(F.array_sort("antecedent").alias("rule_tokens"), "confidence"))
     found = keep(found.withColumn("rule_id", F.xxhash64(F.array_join("rule_tokens", "\x1f"))))
