@@ -11,13 +11,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.llm.common import map_columns
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)(?:>|$)""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)(?:>|$)|</?[a-zA-Z][^>]*>?""", re.DOTALL)
 _HINT = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
 #: Fixed values of the HTML standard: tags without content, tags whose content is no markup, and blocks.
@@ -48,19 +49,16 @@ class HtmlRules:
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "drop", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent, drop):
-        self.tag, self.parent, self.drop, self.parts = tag, parent, drop, []
+    def __init__(self, tag, parent, drop, inside=False):
+        self.tag, self.parent, self.drop, self.inside, self.parts = tag, parent, drop, inside, []
 
 
-def _is_boilerplate(tag: str, attributes: str, parent: _Node, rules: HtmlRules) -> bool:
+def _is_boilerplate(tag: str, attributes: str, inside: bool, rules: HtmlRules) -> bool:
+    """Whether a subtree names itself as no article text; ``inside`` an article a header is its title's place."""
     if tag in rules.tags:
         return True
-    node = parent
-    inside = False
-    while node is not None and not inside:
-        inside, node = node.tag in rules.homes, node.parent
     if tag == "header" and not inside:
         return True
     if tag in rules.homes or tag in ("body", "html") or not attributes:
@@ -73,7 +71,8 @@ def _is_boilerplate(tag: str, attributes: str, parent: _Node, rules: HtmlRules)
             return True
         if name in ("class", "id"):
             for word in value.split():
-                if word in rules.words or not rules.words.isdisjoint(re.split(r"[-_:]+", word)):
+                parts = {word, *re.split(r"[-_:]+", word)} - ({"header"} if inside else set())
+                if not rules.words.isdisjoint(parts):
                     return True
     return False
 
@@ -82,7 +81,16 @@ def parse(page: str, rules: HtmlRules) -> _Node:
     """The page's tree; text parts stay undecoded strings beside child nodes."""
     root = _Node("html", None, False)
     open_, at, n = root, 0, len(page)
-    pos = 0
+    pos, within = 0, Counter()                                                # how many elements of a tag are open
+
+    def close_to(node: _Node) -> _Node:
+        """Leave the open elements below ``node``'s parent."""
+        x = open_
+        while x is not node.parent:
+            within[x.tag] -= 1
+            x = x.parent
+        return x
+
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -96,32 +104,36 @@ def parse(page: str, rules: HtmlRules) -> _Node:
         tag = tag.lower()
         if m.group(1):
             node = open_
-            while node is not root and node.tag != tag:
+            while within[tag] and node.tag != tag:                            # nothing to look for unless one is open
                 node = node.parent
-            if node is not root:
-                open_ = node.parent
+            if within[tag]:
+                open_ = close_to(node)
             continue
         if tag in ("html", "body", "head") and tag == "html":
             continue
         closes = CLOSES.get(tag)
-        if closes:
+        left = sum(within[t] for t in closes) if closes else 0                # open ones that it may close
+        if left:
             walls = WALLS.get(tag, _ANY_WALL)
             node, last = open_, None
-            while node is not root and node.tag not in walls - closes:
+            stops = walls - closes
+            while left and node.tag not in stops:
                 if node.tag in closes:
-                    last = node
+                    last, left = node, left - 1
                 node = node.parent
             if last is not None:
-                open_ = last.parent
+                open_ = close_to(last)
         if tag == "body" and open_.tag == "head":
-            open_ = open_.parent
-        node = _Node(tag, open_, open_.drop or _is_boilerplate(tag, m.group(3) or "", open_, rules))
+            open_ = close_to(open_)
+        inside = open_.inside or open_.tag in rules.homes
+        node = _Node(tag, open_, open_.drop or _is_boilerplate(tag, m.group(3) or "", inside, rules), inside)
         open_.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = pos = close.end() if close else n
         elif tag not in VOID and not m.group(4):
             open_ = node
+            within[tag] += 1
     if pos < n:
         open_.parts.append(page[pos:])
     return root

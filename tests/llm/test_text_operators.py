@@ -140,6 +140,19 @@ def test_more_words_than_a_table_holds(spark):
     assert together == alone and together[1] == together[3] and together[2][0] == 260_000
 
 
+def test_odd_pages():
+    """Titles in an article's header stay, quotes without end leave no markup, and twenty thousand unclosed tags are read once."""
+    import time
+    from loomfold.llm.htmltext import main_text
+    page = '<html><body><header>Site</header><article><header class="entry-header"><h1>Title</h1></header><p>Some long text here that is the body of it.</p></article></body></html>'
+    assert main_text(page) == "Title\nSome long text here that is the body of it."
+    assert main_text('a<b c="d>tail') == "atail" and main_text("x < y and z > w") == "x < y and z > w"
+    for page in ("<b>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, '<b c="' * 20_000, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<" * 200_000, "<!--" * 50_000):
+        started = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - started < 20, page[:10]
+
+
 def test_long_runs_are_lexed_once():
     """Texts of a megabyte without a word break, with nothing but operators or quotes, take about a second each."""
     import time
