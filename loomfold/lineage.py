@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -43,9 +45,40 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "table")
     df.write.parquet(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list of the tables that ``keep`` writes meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [p for p in _recorders if p is not paths]
+
+
+def release(spark: SparkSession, paths: list[str], *wanted: DataFrame) -> None:
+    """Delete recorded tables, but for those that ``wanted`` read.
+
+    For a step whose result has been written: what it kept on the way is not needed again, and
+    would otherwise stay until the checkpoint folder is cleared.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    read = [f for df in wanted for f in df.inputFiles()]
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]                                         # unique, however the folder is written
+        if not any(f"/{name}/" in f for f in read):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether a side has at most ``limit`` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit

@@ -106,3 +106,20 @@ def test_a_flood_stops_the_run_without_listing_it(spark, tmp_path):
     assert subjects(result) == {"batch:rate"} and result.batch.collect()[0]["questions"] == 30 * 29 // 2
     assert result.batch.collect()[0]["blocked"] == 30 and result.records.where("n_blocks = 0").count() == 0
     assert subjects(analyse(spark, [path], {"batch:rate": "continue"})) == {f"identity:T{1000 + i}|T{1000 + j}" for i in range(30) for j in range(i + 1, 30)}
+
+
+def test_tables_kept_on_the_way_can_be_released(spark):
+    import os
+
+    from loomfold import lineage
+
+    folder = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    other = lineage.keep(spark.range(3))
+    with lineage.recorded() as paths:
+        one, two = lineage.keep(spark.range(5)), lineage.keep(spark.range(7))
+    late = lineage.keep(spark.range(4))
+    folders = [folder(df) for df in (other, one, two, late)]
+    lineage.release(spark, paths, two.where("id > 1"))
+    assert [os.path.isdir(f) for f in folders] == [True, False, True, True] and two.count() == 7
+    lineage.release(spark, paths)
+    assert [os.path.isdir(f) for f in folders] == [True, False, False, True]
