@@ -50,6 +50,28 @@ def first_per_identifier(stream: DataFrame, identifiers: Sequence[str], event_ti
     return once.unionByName(keyed.where(~named)).drop(*keys)
 
 
+def newest(decisions: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
+    """The last version of every decision; an emptied one (all other columns null) is taken back."""
+    rest = [c for c in decisions.columns if c not in {*keys, version}]
+    last = decisions.groupBy(*[col(k) for k in keys]).agg(F.max_by(F.struct(*[col(c) for c in rest]), version).alias("_d"))
+    return last.select(*[col(k) for k in keys], *[F.col("_d")[c].alias(c) for c in rest]).where(F.coalesce(*[col(c) for c in rest]).isNotNull())
+
+
+def clean_as_decided(stream: DataFrame, maps: Sequence[Mapping], spec: SchemaSpec, words_path: str, out: str, state: str, **rules):
+    """A query that cleans each micro-batch by the words decided by then.
+
+    ``words_path`` holds (field, value, canonical, version) as Parquet and may grow while the query
+    runs: every micro-batch reads it anew, so a word that a person has settled counts from the next
+    one on, without a restart.  A micro-batch is written under its number, so one that is repeated
+    after a failure replaces itself.  Other arguments are those of ``cleaned_stream``.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        words = newest(batch.sparkSession.read.parquet(words_path), ["field", "value"])
+        cleaned_stream(batch, maps, spec, words=words, **rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is available now and read back what it wrote."""
     spark = stream.sparkSession

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from loomfold.specs.employee import EMPLOYEE
-from loomfold.streaming.apply import checked, cleaned_stream, drain, first_per_identifier
+from loomfold.streaming.apply import checked, clean_as_decided, cleaned_stream, drain, first_per_identifier
 
 
 def test_decided_rules_apply_to_a_stream(spark, tmp_path):
@@ -41,3 +41,22 @@ def test_rows_without_identifiers_all_stay(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     assert {r["v"] for r in drain(first_per_identifier(stream, ["code"], "ts", "1 hour"), "b").collect()} == {"x", "y", "z"}
+
+
+def test_words_decided_while_a_stream_runs_count_from_the_next_batch(spark, tmp_path):
+    """Two runs of one query: the second batch meets the newer word, a repeated batch would replace itself, a word taken back is asked again."""
+    schema, words = "code string, dept string", "field string, value string, canonical string, version int"
+    maps = [dict(column="code", target_field="employee_code"), dict(column="dept", target_field="department")]
+    where = {k: str(tmp_path / k) for k in ("in", "words", "out", "state")}
+
+    def step(rows, decided):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where["in"])
+        spark.createDataFrame(decided, words).write.mode("append").parquet(where["words"])
+        stream = spark.readStream.schema(schema).parquet(where["in"])
+        clean_as_decided(stream, maps, EMPLOYEE, where["words"], where["out"], where["state"]).awaitTermination()
+
+    step([("E1", "people ops"), ("E2", "odd")], [("department", "people ops", "Sales", 1), ("department", "odd", "Sales", 1)])
+    step([("E3", "People Ops"), ("E4", "odd")], [("department", "people ops", "Human Resources", 2), ("department", "odd", None, 2)])
+    out = spark.read.parquet(where["out"])
+    got = {r["employee_code"]: (r["department"], r["batch"], list(r["_waiting"])) for r in out.collect()}
+    assert got == {"E1": ("Sales", 0, []), "E2": ("Sales", 0, []), "E3": ("Human Resources", 1, []), "E4": ("", 1, ["department"])}

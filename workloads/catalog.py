@@ -6,16 +6,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomfold.lineage import cut, keep
+from loomfold.lineage import cut, keep, scratch
 from loomfold.operators import judge as J, load as L, match as M, references as R, resolve as E, validate as V, vocabulary as VO
 from loomfold.operators.dates import column_votes, decide_conventions
 from loomfold.operators.profile import profile_columns, value_frequency
 from loomfold.plans import questions as Q
 from loomfold.sources.tables import from_table
+from loomfold.streaming.apply import clean_as_decided, drain, first_per_identifier
 from workloads import identity, review, values
 from workloads.identity import weighted_ctes
-from workloads.inputs import ctes, derive, sql, table
-from workloads.specs import PARTY, PERSON, TRADE
+from workloads.inputs import DERIVED, ctes, derive, sql, table
+from workloads.specs import PARTY, PERSON, SEGMENT, TRADE
 from workloads.values import melt_sql
 
 QUERIES, ORACLE = {}, {}
@@ -192,3 +193,35 @@ def merge_all_edges(spark, sf):
     records, named, links = identity._named(spark, sf)
     top = E.pairs_by_files(named, links).orderBy(F.desc("n_pairs"), "file_a", "file_b").limit(1).collect()
     return E.merge_all_edges(named, links, top[0]["file_a"], top[0]["file_b"], _NAME_FIELDS)
+
+
+# -- streams -----------------------------------------------------------------
+
+def _stream(spark, sf, name: str, derived: str | None = None) -> DataFrame:
+    stream = spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 1).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
+    if derived is None:
+        return stream
+    stream.createOrReplaceTempView(f"{name}_stream")
+    return spark.sql(DERIVED[derived].replace("{" + name + "}", f"{name}_stream").replace('"', "`"))
+
+
+@query(f"SELECT pos, segment, asked FROM ({values._CLEAN_SEG})")
+def stream_clean(spark, sf):
+    """STR1: a stream cleaned by the newest decided words, which every micro-batch reads again."""
+    folder = scratch(spark, "stream")
+    decided = values._values(spark, sf).where("canonical IS NOT NULL").select("field", "value", "canonical")
+    older = decided.withColumn("canonical", F.lit("Building")).withColumn("version", F.lit(1))
+    older.unionByName(decided.withColumn("version", F.lit(2))).write.parquet(f"{folder}/words")
+    maps = [{"column": "segment", "target_field": "segment"}]
+    source = _stream(spark, sf, "customer", "segments").select("_pos", "segment")
+    clean_as_decided(source, maps, SEGMENT, f"{folder}/words", f"{folder}/out", f"{folder}/state", keep=["_pos"]).awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.col("_pos").alias("pos"), "segment", F.array_contains("_waiting", "segment").alias("asked"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def stream_first_seen(spark, sf):
+    """STR2: one row for each user and kind of event, whatever repeats arrive within the delay."""
+    events = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    once = drain(first_per_identifier(events, ["user_id", "event_type"], "ts", "36500 days"), "first_seen")
+    return once.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("kinds"))
