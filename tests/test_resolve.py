@@ -148,7 +148,7 @@ def test_near_duplicates_counted_and_listed_agree(spark):
     _, records, _ = resolved(spark, items)
     named = cut(E.name_groups(records, "date_of_birth", "first_name", "last_name", "pan"))
     links = cut(E.near_name_links(named))
-    pairs = [(r["key_a"], r["key_b"], r["file_a"], r["file_b"]) for r in E.list_pairs(named, links, salts=3).collect()]
+    pairs = [(r["key_a"], r["key_b"], r["file_a"], r["file_b"]) for r in E.list_pairs(named, links, chunk=3).collect()]
     assert len({frozenset(p[:2]) for p in pairs}) == len(pairs)
 
     from loomfold.functions.similarity import weighted_ratio
@@ -237,3 +237,15 @@ def test_loops_of_merge_answers_keep_one_record(spark):
     pairs = [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("f", "g"), ("g", "h"), ("h", "i"), ("i", "f"), ("x", "c"), ("p", "q"), ("q", "r"), ("p", "z")]
     got = {r["member"]: r["winner"] for r in E.final_winners(spark.createDataFrame(pairs, "member string, winner string")).collect()}
     assert got == {"b": "a", "d": "c", "e": "c", "x": "c", "g": "f", "h": "f", "i": "f", "p": "r", "q": "r"}
+
+
+def test_a_name_of_a_third_of_all_records_is_listed_in_chunks(spark):
+    """Every pair once, whatever the chunks, and one table of the plan's joins for each pair of chunks."""
+    people = [("1980-01-01", "asha", "rao" if i % 3 == 0 else ["raoo", "iyer", f"x{i}"][i % 3 if i % 2 else 0], f"r{i:03d}", f"k{i:03d}", "p1" if i % 50 == 0 else "", i, "a") for i in range(240)]
+    named = cut(spark.createDataFrame(people, "dob string, first string, last string, _rid string, key string, pan string, _seq int, file string"))
+    links = spark.createDataFrame([("1980-01-01", "asha", "rao", "rao", 100.0), ("1980-01-01", "asha", "rao", "raoo", 95.0)], "dob string, first string, value_a string, value_b string, similarity double")
+    got = {chunk: sorted((r["rid_a"], r["rid_b"]) for r in E.list_pairs(named, links, chunk).collect()) for chunk in (7, 1_000)}
+    rao, other = [p for p in people if p[2] == "rao"], [p for p in people if p[2] == "raoo"]
+    fits = lambda a, b: not a[5] or a[5] != b[5]                                # noqa: E731
+    want = sorted([(a[3], b[3]) for a in rao for b in rao if a[6] < b[6] and fits(a, b)] + [(a[3], b[3]) for a in rao for b in other if fits(a, b)])
+    assert got[7] == got[1_000] == want
