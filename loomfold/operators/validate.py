@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomfold.functions.dates import iso_prefix, years_between
 from loomfold.functions.formats import FORMATS, FORMAT_HELP, check_format
 from loomfold.functions.text import col, filled, norm_key, redact_named, strip, text_of, subject_parts
+from loomfold.lineage import broadcast_if_small
 from loomfold.spec import DEFAULT_POLICY, Policy, SchemaSpec
 
 ISSUE = "struct<field:string,rule:string,message:string>"
@@ -193,11 +194,13 @@ def reference_answers(records: DataFrame, answers: DataFrame, pointer: str) -> D
     new = (F.when(F.col("_a.value") == "clear", F.lit(""))
            .when((F.col("_a.action") == "edit") & (given != ""), given)
            .when(F.col("_a.value").startswith("reassign:"), F.substr("_a.value", F.lit(10))).otherwise(col(pointer)))
-    kept = records.withColumn("_to", norm_key(col(pointer))).join(about, "_to", "left").withColumn(pointer, new)
+    # as many answers as people have given; records that name the same missing value may be a third of all
+    few = lambda t: broadcast_if_small(t, DEFAULT_POLICY.broadcast_rows)       # noqa: E731
+    kept = records.withColumn("_to", norm_key(col(pointer))).join(few(about), "_to", "left").withColumn(pointer, new)
     named = answers.where((parts(0) == "cycle-clear") & F.col("value").isNotNull() & ~F.col("value").isin("", "False", "false")).select(parts(1).alias("key"))
     chosen = answers.where(F.col("value").startswith("cycle-clear:")).select(subject_parts(F.col("value"), 2)(1).alias("key"))
     cuts = named.unionByName(chosen).distinct().withColumn("_cut", F.lit(True))
-    return (kept.join(cuts, "key", "left").withColumn(pointer, F.when(F.col("_cut"), F.lit("")).otherwise(col(pointer)))
+    return (kept.join(few(cuts), "key", "left").withColumn(pointer, F.when(F.col("_cut"), F.lit("")).otherwise(col(pointer)))
             .select(*records.columns))
 
 
