@@ -77,12 +77,23 @@ def lexical_scores(profiles: DataFrame, spec: SchemaSpec) -> DataFrame:
             .groupBy("column", "field").agg(F.max("s").alias("lexical"), F.max(same).alias("exact")))
 
 
+def _may_reach(a: Column, b: Column, score: float) -> Column:
+    """Whether the lengths of two texts, or one within the other, let their WRatio reach ``score``.
+
+    From 1.5 times the length on, a whole window of the longer text scores 90 and nothing else
+    does; beyond 8 times, 60 is the most.  A letter within a page of text is no match.
+    """
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    within = (F.contains(a, b) | F.contains(b, a)) if score == 90.0 else F.lit(score < 90.0)
+    return (longer < 1.5 * shorter) | (longer <= 8 * shorter) & within | F.lit(score <= 60.0)
+
+
 def recognised_shares(values: DataFrame, profiles: DataFrame, spec: SchemaSpec, policy: Policy) -> DataFrame:
     """(file, column, field, recognised): share of a column's filled rows that already are words of an enum field.
 
     ``values``: the value frequencies.  Every distinct value counts with its rows.  Number and id
     columns are left out of fields without numbered words, which they cannot feed; of the rest
-    only values of a length that can reach the threshold are scored.
+    only values that can reach the threshold are scored.
     """
     enums = [f for f in spec.fields if f.type == "enum" and f.enum]
     if not enums:
@@ -93,8 +104,7 @@ def recognised_shares(values: DataFrame, profiles: DataFrame, spec: SchemaSpec,
     cells = (values.where((F.col("value") != "") & ~is_null_word(F.col("value"))).join(F.broadcast(profiles.select("file", "column", "inferred_type", "non_null")), ["file", "column"])
              .select("file", "column", "non_null", "inferred_type", value.alias("value"), "n", F.inline(listed))
              .where(F.col("numbered") | ~F.col("inferred_type").isin("number", "id")))
-    shorter, longer = (lambda o: F.least(F.length("value"), F.length(o))), (lambda o: F.greatest(F.length("value"), F.length(o)))
-    near = F.exists("options", lambda o: (longer(o) < 1.5 * shorter(o)) | F.contains("value", o) | F.contains(o, F.col("value")))
+    near = F.exists("options", lambda o: _may_reach(F.col("value"), o, policy.enum_auto_min))
     likely = cells.where(near | F.array_contains("others", F.col("value"))).groupBy("file", "column", "non_null", "field", "value").agg(F.sum("n").alias("n"))
     words_ = canonicalise(likely.select("field", "value").distinct(), spec, policy).where("canonical IS NOT NULL").select("field", "value")
     return (likely.join(words_, ["field", "value"]).groupBy("file", "column", "field")
@@ -365,7 +375,8 @@ def sweep_thresholds(profiles: DataFrame, candidates: DataFrame, truth: DataFram
     Each (cell, file) is one small group, so the grid runs in parallel.
     """
     grid = F.array(*[F.struct(F.lit(a).alias("auto_min"), F.lit(m).alias("margin_min")) for a in auto_min for m in margin_min])
-    groups = _file_groups(profiles, candidates, None, None).select("*", F.inline(grid))
+    # a few bytes but many small groups: a fixed number of parts, which are not put together again by size
+    groups = _file_groups(profiles, candidates, None, None).select("*", F.inline(grid)).repartition(64, "file", "auto_min", "margin_min")
     fields = spec.names
 
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

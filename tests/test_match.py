@@ -127,3 +127,21 @@ def test_the_sweep_accounts_for_every_known_column(spark):
            M.sweep_thresholds(p, M.score_candidates(p, EMPLOYEE), truth, EMPLOYEE, [0.6, 0.95], [0.0, 0.3]).collect()}
     assert len(got) == 4 and all(sum(v) == 3 and v[2] == 0 for v in got.values())
     assert got[0.6, 0.0][1] <= got[0.95, 0.3][1]                                    # a stricter cell never asks less
+
+
+def test_only_values_that_can_reach_the_threshold_are_scored(spark, monkeypatch):
+    """A page of text that holds an option of one letter is no word; what may score is kept."""
+    from loomfold.functions.similarity import weighted_ratio
+    from workloads.specs import TRADE
+
+    page = "<p>office of the fox</p> " * 400
+    values = [page, "F", "f", "of", "profiles", "profiles!", "building", "the building", "xx building " + "x" * 60, "buildings", "houshold", "a" * 12]
+    seen, whole = set(), M.canonicalise
+    monkeypatch.setattr(M, "canonicalise", lambda df, *more: (seen.update((r["field"], r["value"]) for r in df.collect()), whole(df, *more))[1])
+    rows = [("f", "c", "string", values)]
+    M.recognised_shares(frequencies(spark, rows), profiles(spark, rows), TRADE, DEFAULT_POLICY).collect()
+    assert page.strip() not in {v for _, v in seen} and ("order_status", "profiles!") not in seen
+    for field in TRADE.fields:
+        for v in {v.lower() for v in values if v != page}:
+            if any(weighted_ratio(v, o.lower()) >= DEFAULT_POLICY.enum_auto_min for o in field.enum or ()):
+                assert (field.name, v) in seen
