@@ -126,7 +126,7 @@ def iso_prefix(c: Column) -> Column:
     """The date in the first ten characters, or null."""
     head = F.substring(text_of(c), 1, 10)
     return F.when(head.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & ~head.startswith("0000"),
-                  F.try_to_date(head, "yyyy-MM-dd"))
+                  head.try_cast("date"))
 
 
 def years_between(start: Column, end: Column) -> Column:

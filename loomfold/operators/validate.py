@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomfold.functions.dates import iso_prefix, years_between
 from loomfold.functions.formats import FORMATS, FORMAT_HELP, check_format
 from loomfold.functions.text import col, filled, norm_key, redact_named, strip, text_of, subject_parts
-from loomfold.lineage import broadcast_if_small
+from loomfold.lineage import broadcast_if_small, evaluated
 from loomfold.spec import DEFAULT_POLICY, Policy, SchemaSpec
 
 ISSUE = "struct<field:string,rule:string,message:string>"
@@ -113,15 +113,18 @@ def validate_and_repair(records: DataFrame, spec: SchemaSpec, suppress: Iterable
     wait = F.col(waiting) if waiting else None
     live = F.col("push_status") != "skipped" if "push_status" in records.columns else F.lit(True)
     none = F.array().cast(f"array<{ISSUE}>")
-    first = records.withColumn("_first", F.when(live, check(spec, suppress, wait, policy, roles)).otherwise(none))
+    # each step is evaluated once a row: what follows would else repeat it in every use, filters before it included
+    texts = evaluated(records, {n: col(n) for n in spec.names if n in records.columns})
+    first = evaluated(texts, {"_first": F.when(live, check(spec, suppress, wait, policy, roles)).otherwise(none)})
     failing = F.size("_first") > 0
     fixes = {n: repaired_value(n, spec, roles) for n in repairable(spec, roles)}
     changes = F.array_compact(F.array(*[
         F.when(failing & why.isNotNull(), F.struct(F.lit(n).alias("field"), text_of(col(n)).alias("before"), after.alias("after"), why.alias("why")))
         for n, (after, why) in fixes.items()]))
-    fixed = first.withColumn("changes", changes).withColumns({n: F.when(failing, after).otherwise(col(n)) for n, (after, _) in fixes.items()})
+    fixed = evaluated(first, {"changes": changes, **{n: F.when(failing, after).otherwise(col(n)) for n, (after, _) in fixes.items()}})
     again = F.when(F.size("_first") == 0, none).when(F.size("changes") == 0, F.col("_first")).otherwise(check(spec, suppress, wait, policy, roles))
-    return fixed.withColumn("issues", again).drop("_first")
+    out = evaluated(fixed, {"issues": again})
+    return out.select(*[col(c) for c in records.columns], "changes", "issues")
 
 
 def repair_audit(validated: DataFrame, spec: SchemaSpec) -> DataFrame:

@@ -61,6 +61,14 @@ def test_one_repair_then_ask(spark):
     assert (audit["before"], audit["after"]) == ("******234f", "******234F")
 
 
+def test_checks_are_not_repeated_by_what_follows(spark):
+    """A filter on the issues is not rewritten as the checks themselves, which took each check dozens of times a row."""
+    df = V.validate_and_repair(records(spark, [{"pan": "bad"}, {}]), EMPLOYEE).where(F.size("issues") > 0)
+    assert [r["pan"] for r in df.collect()] == ["BAD"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "RLIKE" in line]
+
+
 @pytest.mark.parametrize("empty,total,structural", [(300, 300, True), (270, 300, True), (269, 300, False), (9, 9, False), (9, 10, True)])
 def test_a_required_field_nothing_feeds(spark, empty, total, structural):
     df = records(spark, [{"work_email": "" if i < empty else "m@example.com"} for i in range(total)])
