@@ -78,6 +78,12 @@ def check(spec: SchemaSpec, suppress: Iterable[str] = (), waiting: Column | None
     return F.array_compact(F.array(*out))
 
 
+def issues_of(records: DataFrame, spec: SchemaSpec, **options) -> DataFrame:
+    """``records`` with ``issues``, each value and each check evaluated once a row; ``options`` as of ``check``."""
+    texts = evaluated(records, {n: col(n) for n in spec.names if n in records.columns})
+    return evaluated(texts, {"issues": check(spec, **options)})
+
+
 def repaired_value(name: str, spec: SchemaSpec, roles: Roles = ROLES) -> tuple[Column, Column]:
     """P12 for one field: (value after one mechanical repair, why -- null if unchanged)."""
     f, before = spec.field(name), text_of(col(name))

@@ -69,6 +69,14 @@ def test_checks_are_not_repeated_by_what_follows(spark):
     assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "RLIKE" in line]
 
 
+def test_listed_issues_are_checked_once(spark):
+    """Listing the issues of records does not put the checks into a filter of its own."""
+    df = V.issues_of(records(spark, [{"pan": "bad"}, {}]), EMPLOYEE).select("key", F.inline("issues"))
+    assert [(r["field"], r["rule"]) for r in df.collect()] == [("pan", "format")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "RLIKE" in line]
+
+
 @pytest.mark.parametrize("empty,total,structural", [(300, 300, True), (270, 300, True), (269, 300, False), (9, 9, False), (9, 10, True)])
 def test_a_required_field_nothing_feeds(spark, empty, total, structural):
     df = records(spark, [{"work_email": "" if i < empty else "m@example.com"} for i in range(total)])

@@ -61,7 +61,7 @@ def _issues_sql(source: str) -> str:
 @query(f"WITH {ctes('people')} {_issues_sql('people')}")
 def validate_rows(spark, sf):
     """P5: one narrow projection, issues exploded."""
-    people = derive(spark, sf, "people").withColumn("issues", V.check(PERSON))
+    people = V.issues_of(derive(spark, sf, "people"), PERSON)
     return people.select("id", F.inline("issues")).select("id", "field", "rule")
 
 
