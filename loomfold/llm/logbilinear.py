@@ -27,7 +27,7 @@ class LblRules:
     ``frequent``: words whose counts are sent to all tasks, at most; others find theirs by a join.
     ``noise`` draws a batch; ``batch`` distinct trigrams a step at most; ``passes`` over a task's trigrams.
     """
-    classes: int = 382
+    classes: int = 1022
     dims: int = 16
     frequent: int = 400_000
     noise: int = 96

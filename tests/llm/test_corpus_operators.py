@@ -319,3 +319,10 @@ def test_queries_have_their_columns(spark):
         if (n := name.split("_")[0]) in want:
             df = make(spark, SF)
             assert set(want[n].split()) <= set(df.columns) and df.count() > 0, name
+
+
+def test_log_bilinear_classes_tell_many_words_apart(spark):
+    """The words with a class of their own are nearly half of all word occurrences of the given texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.coalesce("text", F.lit("")).cast("binary").alias("_bytes"))
+    counts = sorted((r["c"] for r in logbilinear.word_counts(docs).collect()), reverse=True)
+    assert sum(counts[:logbilinear.LblRules().classes]) > 0.45 * sum(counts)
