@@ -177,6 +177,36 @@ def test_groups(spark, n_words, rules):
     assert got == brute_groups(rows, n_words)
 
 
+def template_texts(n: int, pairs: int, rng: random.Random):
+    """Texts of one template, 0.797 alike, and ``pairs`` more, each of which shares one more word with one of them: 0.817."""
+    rows = [[f"t{i}" for i in range(160)] for _ in range(n + pairs)]
+    for k, text in enumerate(rows):
+        for i in range(8, 152, 16):                                             # a changed word is two shingles of two words
+            text[i] = f"u{rng.getrandbits(48)}"
+        if k >= n:
+            text[8] = rows[k - n][8]
+    return list(enumerate(map(" ".join, rows)))
+
+
+def test_links_in_over_full_regions(spark):
+    """Isolated pairs of a template lie in regions too full at every depth, which were dealt at random."""
+    rows = template_texts(700, 80, random.Random(3))
+    want = {i: i - 700 if i >= 700 else i for i, _ in rows}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in neardup.grouped(table, neardup.NearRules(words=2, region=8)).collect()}
+    assert got == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (1, 5, 40, 80, 200)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for width in (1, 7, 8192):
+        got = neardup.common_counts(sets, width)
+        assert all(got[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+    assert neardup.common_counts([np.array([1], np.uint64), np.array([2], np.uint64)])[0, 1] == 0
+
+
 def test_one_row_of_each_group_stays(odd, empty, clashing):
     kept = neardup.deduplicated(odd).collect()
     assert len(kept) == odd.count() - 1 and sum(r.doc_id == 6 for r in kept) == 1 and any(r.doc_id is None for r in kept)
