@@ -340,8 +340,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set")))
 
 
-def _links(nodes: DataFrame, signed: DataFrame, rules: NearRules) -> DataFrame:
-    """Confirmed links (a, b) that join all groups of sets."""
+def _groups(nodes: DataFrame, signed: DataFrame, rules: NearRules) -> DataFrame:
+    """Groups (node, component) of sets that confirmed links join; sets without a link are in none."""
     cuts, few = _cuts(nodes, rules), lambda t: broadcast_if_small(t, FEW)
     planted = nodes.select("set", "n", "_sig")
     placed = map_any(planted, _FOREST, _planted(rules, cuts)).repartition("region").sortWithinPartitions("region", "set")
@@ -357,12 +357,25 @@ def _links(nodes: DataFrame, signed: DataFrame, rules: NearRules) -> DataFrame:
     more = map_any(again.repartition("region").sortWithinPartitions("region", "set"), _LINKS, _neighbours(rules, False)).select("a", "b").distinct()
     more = keep(more.join(judged, ["a", "b"], "left_anti"))
     late = keep(_confirmed(more, _texts_of(_ends(more), nodes, signed), rules))
-    found = sure.unionByName(late.where("linked").select("a", "b"))
+    groups = _merged(groups, late.where("linked").select("a", "b"))
     if any(cuts.first):
         dense = keep(connected_components(map_any(planted.select("set", "_sig"), "a binary, b binary", _joined_in_task(rules, cuts)))
                      .where(F.length("node") == 16).withColumnsRenamed({"node": "set", "component": "cluster"}))
-        found = found.unionByName(_between(dense, keep(connected_components(found)), nodes, signed, rules))
-    return found
+        groups = _merged(groups, _between(dense, groups, nodes, signed, rules))
+    return groups
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (node, component) with more ``links`` (a, b): the groups that they join become one; only those are worked on."""
+    links = keep(links)
+    if links.isEmpty():
+        return groups
+    ends = keep(_ends(links).distinct().join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")))
+    at = lambda end, name: ends.select(F.col("set").alias(end), F.col("component").alias(name))
+    joined = broadcast_if_small(keep(connected_components(links.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))), FEW)
+    # ends that were in no group yet come in with a row of their own
+    every = groups.select("node", "component").unionByName(ends.select(F.col("set").alias("node"), "component")).distinct()
+    return keep(every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_now")), "component", "left").select("node", F.coalesce("_now", "component").alias("component")))
 
 
 def _between(dense: DataFrame, groups: DataFrame, nodes: DataFrame, signed: DataFrame, rules: NearRules) -> DataFrame:
@@ -462,7 +475,7 @@ def grouped(docs: DataFrame, rules: NearRules = NearRules(), doc_id: str = "doc_
     nodes = keep(signed.where(F.col("_set").isNotNull()).select("_row", "_set", "_n", "_sig")
                  .join(least.select(F.col("_least._row").alias("_row"), F.col("_least.doc_id").alias("_id")).hint("merge"), "_row")
                  .select(F.col("_set").alias("set"), F.col("_n").alias("n"), "_sig", "_row", "_id"))
-    groups = keep(connected_components(_links(nodes, signed, rules)))
+    groups = _groups(nodes, signed, rules)
     placed = keep(nodes.select("set", "_row", "_id").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")))
     head = placed.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_head"), F.count("*").alias("_c"))
     large = head.where(F.col("_c") * 200 > max(1000, placed.count())).select("component")

@@ -4,7 +4,8 @@ The graph is over distinct identifier *values*, not rows: rows carrying the same
 identifiers collapse in a map-side combine before anything else happens, and an
 edge says that two values occurred on one row.  Components are found by
 alternating large-star and small-star steps, which halve chains instead of
-walking them; each round is two aggregates and two joins, checkpointed.
+walking them; each round is two aggregates and two joins, written out, and the
+rounds end as soon as every edge leads to the centre of a star.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from loomfold.functions.text import col, norm_key
-from loomfold.lineage import cut, salted_lookup
+from loomfold.lineage import cut, keep, recorded, release, salted_lookup
 
 HOT_SHARE = 1_000          # a node is hot if it holds over 1/HOT_SHARE of all edge ends
 HOT_MINIMUM = 100_000
@@ -43,21 +44,35 @@ def _closer(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> tuple[int, bool]:
+    """Number of edges, and whether they are stars already: no node has two, no centre is linked on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("_n"), F.lit(False).alias("_c")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("_n"), F.lit(True).alias("_c")))
+    per = ends.groupBy("node").agg(F.sum("_n").alias("_n"), F.max("_c").alias("_c"))
+    n, loose = per.agg(F.sum("_n"), F.max((F.col("_n") > 1) | (F.col("_c") & (F.col("_n") > 0)))).first()
+    return n or 0, not loose
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of an undirected edge list (a, b)."""
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current = cut(pairs)
-    n = current.count()
+    """(node, component) for every node of an undirected edge list (a, b).
+
+    Rounds are tables, so that few tasks read a small one; each is deleted once the next is written.
+    """
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, list[str]]:
+        with recorded() as paths:
+            return keep(df), paths
+
+    current, held = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n, done = _settled(current)
     for _ in range(max_rounds):
-        if n == 0:
-            break
-        step = cut(_closer(_closer(current, n, large=True), n, large=False))
-        size = step.count()
-        # stars do not change any more: same size and nothing new
-        if size == n and step.join(current, ["u", "v"], "left_anti").limit(1).count() == 0:
-            current = step
+        if done:
             break
-        current, n = step, size
+        step, paths = written(_closer(_closer(current, n, large=True), n, large=False))
+        release(spark, held)
+        current, held = step, paths
+        n, done = _settled(current)
     else:
         raise RuntimeError("components did not settle")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

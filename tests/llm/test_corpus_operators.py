@@ -207,6 +207,17 @@ def test_common_counts():
     assert neardup.common_counts([np.array([1], np.uint64), np.array([2], np.uint64)])[0, 1] == 0
 
 
+def test_later_links_join_groups_without_grouping_all_again(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(neardup, "connected_components", lambda edges, f=neardup.connected_components: sizes.append(edges.count()) or f(edges))
+    sets = lambda *x: [y.encode() * 16 for y in x]
+    groups = spark.createDataFrame([(x, sets("a")[0]) for x in sets(*"abcd")] + [(x, sets("e")[0]) for x in sets(*"ef")], "node binary, component binary")
+    links = spark.createDataFrame([tuple(sets("d", "f")), tuple(sets("x", "y")), tuple(sets("f", "z"))], "a binary, b binary")
+    found = {bytes(r.node)[:1].decode(): bytes(r.component)[:1].decode() for r in neardup._merged(groups, links).collect()}
+    assert found == dict.fromkeys("abcdefz", "a") | dict.fromkeys("xy", "x") and sizes == [3]
+    assert neardup._merged(groups, links.limit(0)) is groups and sizes == [3]
+
+
 def test_one_row_of_each_group_stays(odd, empty, clashing):
     kept = neardup.deduplicated(odd).collect()
     assert len(kept) == odd.count() - 1 and sum(r.doc_id == 6 for r in kept) == 1 and any(r.doc_id is None for r in kept)

@@ -136,6 +136,17 @@ def test_components_equal_union_find(spark, seed):
     assert got == want
 
 
+def test_stars_take_no_round_of_components(spark, monkeypatch):
+    from loomfold.operators import components as G
+
+    rounds = []
+    monkeypatch.setattr(G, "_closer", lambda *a, f=G._closer, **k: rounds.append(1) or f(*a, **k))
+    for edges, most in (([("a", f"h{i}") for i in range(40)] + [("b", "c")], 0), ([("a", "b"), ("b", "c"), ("c", "d")], 4)):
+        got = {r["node"]: r["component"] for r in G.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+        assert got == {x: "b" if most == 0 and x in "bc" else "a" for e in edges for x in e}
+        assert len(rounds) <= most
+
+
 def _two_exports(n, extra=()):
     person = lambda f, p, i: {"_source": f"{f}#{i + 2}", "employee_code": f"{p}{i}", "first_name": f"Name{i}", "last_name": "Surname", "date_of_birth": f"198{i % 10}-01-0{1 + i % 9}"}
     return [person("a.csv", "A", i) for i in range(n)] + [person("b.csv", "B", i) for i in range(n)] + list(extra)
