@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,6 +43,13 @@ def bounded_batches(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, and what it kept would add to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):                                     # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], keep: list[str] = (), rows: int = 1024) -> DataFrame:
     """Kept columns plus those that ``make()(batch)`` returns, batch by batch through Arrow.
 
@@ -58,6 +67,8 @@ def map_columns(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
                 batch = whole.slice(at, rows)
                 columns = {c: batch.column(c) for c in kept} | step(batch)
                 yield pa.RecordBatch.from_arrays([_cast(columns[f.name], f.type) for f in arrow], schema=arrow)
+        whole = batch = columns = step = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -70,6 +81,8 @@ def map_any(df: DataFrame, ddl: str, run: Callable[[Iterator[pa.RecordBatch]], I
         arrow = to_arrow_schema(schema)
         for columns in run(batches):
             yield pa.RecordBatch.from_arrays([_cast(columns[f.name], f.type) for f in arrow], schema=arrow)
+        columns = None
+        give_back()
 
     return df.mapInArrow(work, schema)
 
