@@ -177,6 +177,28 @@ def test_near_duplicates_counted_and_listed_agree(spark):
     assert files == {f: across.count(f) for f in set(across)}
 
 
+def test_open_partners_by_class_are_those_of_the_listed_pairs(spark):
+    rng = random.Random(9)
+    data = [(f"r{i}", f"K{i}", i, rng.choice(["a", "b", None]), rng.choice(["d1", "d2"]), "x", rng.choice(["krishnamurthy", "krishnamurty", "bo"]), rng.choice(["", "p", "q"])) for i in range(90)]
+    named = spark.createDataFrame(data, "_rid string, key string, _seq int, file string, dob string, first string, last string, pan string").withColumn("third", F.col("_seq") % 3)
+    links = cut(E.near_name_links(named))
+    pairs = [r for r in E.list_pairs(named, links).collect() if (r["seq_a"] + r["seq_b"]) % 3]
+    asked = lambda x, y: (x["third"] + y["third"]) % 3 != 0     # noqa: E731
+    ends = [r[c] for r in pairs for c in ("rid_a", "rid_b")]
+    assert {r["_rid"]: r["n_partners"] for r in E.partners_by_class(named, links, ["third"], asked).collect()} == {x: ends.count(x) for x in ends}
+    across = [tuple(sorted((r["file_a"], r["file_b"]))) for r in pairs if r["file_a"] and r["file_b"] and r["file_a"] != r["file_b"]]
+    assert {(r["file_a"], r["file_b"]): r["n_pairs"] for r in E.pairs_by_files(named, links, by=["third"], is_open=asked).collect()} == {f: across.count(f) for f in set(across)}
+
+
+def test_open_partners_lists_no_pair(spark, monkeypatch):
+    from workloads import identity
+
+    def listed(*_):
+        raise AssertionError("pairs were listed")
+    monkeypatch.setattr(E, "list_pairs", listed)
+    assert identity.open_partners(spark, "/root/testdata/sf0.001").count()
+
+
 def test_two_exports_are_one_question_and_merge_all_carries_it_out(spark):
     _, records, members = resolved(spark, _two_exports(20))
     named = cut(E.name_groups(records, "date_of_birth", "first_name", "last_name", "pan"))
