@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomfold.functions.similarity import wratio
+from loomfold.lineage import spread
 from loomfold.spec import BLANK_ANSWER, DEFAULT_POLICY, FieldSpec, Policy, SchemaSpec
 
 SHOWN_OPTIONS = 4
@@ -45,7 +46,8 @@ def canonicalise(values: DataFrame, spec: SchemaSpec, policy: Policy = DEFAULT_P
     known = values.withColumn("_known", _by_field(spec, lambda f: known_word(f, F.col("value"))).cast("string"))
     options = _by_field(spec, lambda f: F.array(*[F.lit(o) for o in f.enum])).cast("array<string>")
     left = known.where(F.col("_known").isNull() & (F.col("value") != ""))
-    scored = (left.select("field", "value", F.posexplode(options).alias("pos", "option"))
+    # scoring is far heavier than its input is large: as many tasks as the session has partitions
+    scored = (spread(left, "field", "value").select("field", "value", F.posexplode(options).alias("pos", "option"))
               .withColumn("score", wratio(F.col("value"), F.lower("option"))))
     ranked = F.sort_array(F.collect_list(F.struct("score", (-F.col("pos")).alias("order"), "option")), asc=False)
     best = (scored.groupBy("field", "value").agg(ranked.alias("_r"))

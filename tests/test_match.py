@@ -145,3 +145,43 @@ def test_only_values_that_can_reach_the_threshold_are_scored(spark, monkeypatch)
         for v in {v.lower() for v in values if v != page}:
             if any(weighted_ratio(v, o.lower()) >= DEFAULT_POLICY.enum_auto_min for o in field.enum or ()):
                 assert (field.name, v) in seen
+
+
+def test_letters_decide_what_is_scored_and_lose_no_word(spark, monkeypatch):
+    """Values of an option's length, but of other letters, are not scored; every value that reaches the threshold is."""
+    import random
+
+    from loomfold.functions.similarity import weighted_ratio
+
+    rng = random.Random(5)
+    options = [o.lower() for f in EMPLOYEE.fields for o in f.enum or ()]
+
+    def near(o: str) -> str:
+        words_ = o.split() + rng.choices(["", "human", "success", "sales"], k=1) * rng.randint(0, 1)
+        rng.shuffle(words_)
+        letters = list("  ".join(words_))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at:at + rng.randint(0, 1)] = rng.choice(["", "e", "s", " ", "\t"])
+        return "".join(letters)
+
+    far = [f"user{i}@example.com" for i in range(300)] + [f"2001-0{i % 9 + 1}-11" for i in range(9)] + [f"98-{i:08d}" for i in range(300)]
+    close = sorted({v.strip() for v in (near(o) for o in options for _ in range(60))} - {""})
+    seen, whole = set(), M.canonicalise
+    monkeypatch.setattr(M, "canonicalise", lambda df, *more: (seen.update((r["field"], r["value"]) for r in df.collect()), whole(df, *more))[1])
+    rows = [("f", "c", "string", far + close)]
+    M.recognised_shares(frequencies(spark, rows), profiles(spark, rows), EMPLOYEE, DEFAULT_POLICY).collect()
+    assert not {v for _, v in seen} & set(far)
+    for field in EMPLOYEE.fields:
+        reached = {v for v in close for o in field.enum or () if weighted_ratio(v, o.lower()) >= DEFAULT_POLICY.enum_auto_min}
+        assert {v for f, v in seen if f == field.name} >= reached
+
+
+def test_few_bytes_of_words_are_scored_in_many_tasks(spark, monkeypatch):
+    """Sizes do not merge the scoring into one task."""
+    from loomfold.operators import vocabulary
+
+    monkeypatch.setattr(vocabulary, "wratio", lambda a, b: F.spark_partition_id().cast("double"))
+    values = spark.createDataFrame([("department", f"enginering {i}") for i in range(400)], "field string, value string")
+    used = {r["score"] for r in vocabulary.canonicalise(values, EMPLOYEE).where("score < 100").collect()}
+    assert len(used) == int(spark.conf.get("spark.sql.shuffle.partitions"))
