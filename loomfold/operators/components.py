@@ -4,15 +4,15 @@ The graph is over distinct identifier *values*, not rows: rows carrying the same
 identifiers collapse in a map-side combine before anything else happens, and an
 edge says that two values occurred on one row.  Components are found by
 alternating large-star and small-star steps, which halve chains instead of
-walking them; each round is two aggregates and two joins, written out, and the
-rounds end as soon as every edge leads to the centre of a star.
+walking them; each round is two windows and what drops duplicates, written out,
+and the rounds end as soon as every edge leads to the centre of a star.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomfold.functions.text import col, norm_key
 from loomfold.lineage import cut, keep, recorded, release, salted_lookup
@@ -21,36 +21,41 @@ HOT_SHARE = 1_000          # a node is hot if it holds over 1/HOT_SHARE of all e
 HOT_MINIMUM = 100_000
 
 
-def _closer(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
-    """One star step over (u, v), u > v: link neighbours to the least one they share."""
+def _closer(edges: DataFrame, hot: DataFrame | None, large: bool) -> DataFrame:
+    """One star step over (u, v), u > v: link neighbours to the least one they share.
+
+    Every edge becomes one edge, so nothing grows before the round's duplicates are dropped.
+    ``hot``: nodes whose edges would land on one task; there are at most HOT_SHARE of those, so
+    their least neighbours are aggregated and travel by broadcast instead.
+    """
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = (both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_deg"))
-             .select("u", F.least("u", "_m").alias("m"), "_deg"))
-    moved = both.where("v > u") if large else both
-    # A node with a fixed share of all edges would land on one task; there are at
-    # most HOT_SHARE of those, so their rows travel by broadcast instead.
-    limit = max(HOT_MINIMUM, 2 * n_edges // HOT_SHARE)
-    if n_edges > HOT_MINIMUM:
-        hot = F.broadcast(least.where(F.col("_deg") > limit).select("u", "m"))
-        linked = (moved.join(hot.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
-                  .unionByName(moved.join(hot, "u")))
+    least = lambda rows: rows.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    if hot is None:
+        linked = least(both)
     else:
-        linked = moved.join(least.select("u", "m"), "u")
-    out = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        out = out.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        hot = F.broadcast(hot)
+        own = both.join(hot, "u").groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
+        linked = least(both.join(hot, "u", "left_anti")).unionByName(both.join(F.broadcast(own), "u").select("u", "v", "m"))
+    if large:
+        return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # the least neighbour's own edge links the node itself
+    return linked.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
-def _settled(edges: DataFrame) -> tuple[int, bool]:
-    """Number of edges, and whether they are stars already: no node has two, no centre is linked on."""
+def _settled(edges: DataFrame) -> tuple[bool, DataFrame | None]:
+    """Whether the edges are stars already (no node has two, no centre is linked on), and their hot nodes, if any.
+
+    A star step gives no node more edges to lesser ones than it had, so they hold for the round.
+    """
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("_n"), F.lit(False).alias("_c")).unionByName(
         edges.select(F.col("v").alias("node"), F.lit(0).alias("_n"), F.lit(True).alias("_c")))
-    per = ends.groupBy("node").agg(F.sum("_n").alias("_n"), F.max("_c").alias("_c"))
-    n, loose = per.agg(F.sum("_n"), F.max((F.col("_n") > 1) | (F.col("_c") & (F.col("_n") > 0)))).first()
-    return n or 0, not loose
+    per = ends.groupBy("node").agg(F.sum("_n").alias("_n"), F.max("_c").alias("_c"), F.count(F.lit(1)).alias("_deg"))
+    n, loose, most = per.agg(F.sum("_n"), F.max((F.col("_n") > 1) | (F.col("_c") & (F.col("_n") > 0))), F.max("_deg")).first()
+    limit = max(HOT_MINIMUM, 2 * (n or 0) // HOT_SHARE)
+    hot = cut(per.where(F.col("_deg") > limit).select(F.col("node").alias("u"))) if loose and most > limit else None
+    return not loose, hot
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -65,14 +70,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             return keep(df), paths
 
     current, held = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    n, done = _settled(current)
+    done, hot = _settled(current)
     for _ in range(max_rounds):
         if done:
             break
-        step, paths = written(_closer(_closer(current, n, large=True), n, large=False))
+        step, paths = written(_closer(_closer(current, hot, large=True), hot, large=False).distinct())
         release(spark, held)
         current, held = step, paths
-        n, done = _settled(current)
+        done, hot = _settled(current)
     else:
         raise RuntimeError("components did not settle")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

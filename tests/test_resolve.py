@@ -147,6 +147,18 @@ def test_stars_take_no_round_of_components(spark, monkeypatch):
         assert len(rounds) <= most
 
 
+def test_a_round_of_components_sends_every_edge_twice(spark):
+    """A large and a small step are one shuffle each; no edge is joined to what it was aggregated into."""
+    from loomfold.operators import components as G
+
+    edges = spark.range(9_000).select(F.concat(F.lit("n"), F.col("id") + 1).alias("u"), F.concat(F.lit("n"), "id").alias("v"))
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    done, hot = G._settled(edges)
+    plan = G._closer(G._closer(edges, hot, large=True), hot, large=False)._jdf.queryExecution().executedPlan().toString()
+    assert not done and hot is None
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def _two_exports(n, extra=()):
     person = lambda f, p, i: {"_source": f"{f}#{i + 2}", "employee_code": f"{p}{i}", "first_name": f"Name{i}", "last_name": "Surname", "date_of_birth": f"198{i % 10}-01-0{1 + i % 9}"}
     return [person("a.csv", "A", i) for i in range(n)] + [person("b.csv", "B", i) for i in range(n)] + list(extra)
