@@ -58,6 +58,17 @@ def test_conflicts_are_kept_apart_from_cosmetic_differences(spark):
     assert [(r["field"], r["kept"], r["seen"], r["n"]) for r in E.merge_conflicts(placed, cut(records), ["grade", "first_name"]).collect()] == [("grade", "L1", "L2", 2)]
 
 
+def test_conflicts_send_no_value_that_won(spark):
+    """One join of rows with their record, and only lost values are shuffled to be counted."""
+    names = ["employee_code", "first_name", "last_name"]
+    records = spark.createDataFrame([("r1", 3, "E1", "Asha", ""), ("r2", 1, "E2", "Ravi", "")], "_rid string, n_sources long, employee_code string, first_name string, last_name string")
+    data = [("r1", 1, "e1 ", "Asha", ""), ("r1", 2, "E1", "Usha", None), ("r1", 3, "", "Usha", ""), ("r2", 4, "E2", "Ravi", "")]
+    found = E.merge_conflicts(spark.createDataFrame(data, "_rid string, _rank int, employee_code string, first_name string, last_name string"), records, names)
+    assert [(r["_rid"], r["field"], r["kept"], r["seen"], r["n"], r["_rank"]) for r in found.collect()] == [("r1", "first_name", "Asha", "Usha", 2, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Expand" not in plan
+
+
 def test_one_identifier_on_a_third_of_all_rows(spark):
     items = [{"_source": f"a.csv#{i}", "employee_code": "E0" if i % 3 == 0 else f"E{i}", "work_email": f"m{i}@x.com"} for i in range(900)]
     records, members = E.resolve_records(rows(spark, items, 8), EMPLOYEE)
