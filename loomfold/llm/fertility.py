@@ -216,7 +216,8 @@ def with_verdict(measured: DataFrame, rules: FertilityRules = FertilityRules(),
             .agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"_mid_{c}")), 0.5).alias(f"_dev_{c}") for c in x]))
     bands = mid.join(wide, "_code")
     least = [rules.floors[0] * F.col("_mid_chars_per_token"), F.lit(rules.floors[1]), F.lit(rules.floors[2])]
-    short = F.greatest(F.lit(1.0), F.sqrt(F.col("_mid_n") / F.col("n_tokens")))
+    # evaluated for texts without tokens too, in spite of the ``base_failed`` before it
+    short = F.greatest(F.lit(1.0), F.sqrt(F.col("_mid_n") / F.greatest(F.col("n_tokens"), F.lit(1))))
     reach = [rules.width * 1.4826 * F.greatest(F.col(f"_dev_{c}"), low) * short for c, low in zip(x, least)]
     off = [F.col(c) - F.col(f"_mid_{c}") for c in x]
     inside = (F.abs(off[0]) <= reach[0]) & (off[1] <= reach[1]) & (-off[2] <= reach[2])
