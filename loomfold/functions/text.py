@@ -35,6 +35,12 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_WS_CHARS))
 
 
+def strip_stored(c: Column) -> Column:
+    """``strip`` of a stored column: most values have nothing to strip, so only their ends are looked at."""
+    ends = F.contains(F.lit(_WS_CHARS), F.left(c, F.lit(1))) | F.contains(F.lit(_WS_CHARS), F.right(c, F.lit(1)))
+    return F.when(ends, strip(c)).otherwise(c)
+
+
 def collapse(c: Column) -> Column:
     """Runs of whitespace become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(c, _WS_RUN, " "))
@@ -46,6 +52,12 @@ def words(c: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
+def few_words(c: Column, least: int, most: int) -> Column:
+    """Whether ``words`` finds ``least`` to ``most`` tokens; reads no further than it must."""
+    gap, token = _WS_RUN[:-1], r"[^\p{IsWhite_Space}\x1c-\x1f]++"
+    return c.rlike(rf"^{gap}*+{token}(?:{gap}++{token}){{{least - 1},{most - 1}}}{gap}*+\z")
+
+
 def norm_key(c: Column) -> Column:
     """Comparison form of an identifier or name: trimmed and lowered, null as ''."""
     return F.lower(strip(text_of(c)))
@@ -62,7 +74,7 @@ def alnum_key(c: Column) -> Column:
 
 
 def is_null_word(c: Column) -> Column:
-    return F.lower(c).isin(*NULL_WORDS)
+    return (F.length(c) <= max(map(len, NULL_WORDS))) & F.lower(c).isin(*NULL_WORDS)
 
 
 def smart_title(c: Column) -> Column:

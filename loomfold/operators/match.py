@@ -9,6 +9,8 @@ columns compete for fields, runs as one small group per file.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -16,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomfold.functions.formats import FORMATS
 from loomfold.functions.similarity import token_sort_ratio, wratio
-from loomfold.functions.text import alnum_key, is_null_word, strip
+from loomfold.functions.text import alnum_key, is_null_word, strip, strip_stored
 from loomfold.functions.vectors import cosine
-from loomfold.lineage import cut
+from loomfold.lineage import cut, evaluated
 from loomfold.operators.answers import remembered, rule_answers, share_map_answers
 from loomfold.operators.vocabulary import canonicalise
 from loomfold.spec import (AUTO, DEFAULT_POLICY, ESCALATED, FLAGGED, IGNORED, IGNORE_ANSWER, FieldSpec, Policy, SchemaSpec)
@@ -26,6 +28,7 @@ from loomfold.spec import (AUTO, DEFAULT_POLICY, ESCALATED, FLAGGED, IGNORED, IG
 SPLIT = "split_full_name"
 NAME_FIELDS = ("first_name", "last_name")
 SHOWN = 4
+MAX_LENGTH = (1 << 31) - 1
 
 # Which inferred column types can feed which kind of field.
 TYPE_COMPATIBILITY = {
@@ -78,8 +81,11 @@ def lexical_scores(profiles: DataFrame, spec: SchemaSpec) -> DataFrame:
             .groupBy("column", "field").agg(F.max("s").alias("lexical"), F.max(same).alias("exact")))
 
 
-def _option(option: str, score: float) -> Column:
-    """An option with what a value of about its length needs so that their WRatio reaches ``score``.
+def _may_reach(a: Column, option: str, score: float) -> Column:
+    """Whether the lengths and letters of a text and an option, or one within the other, let their WRatio reach ``score``.
+
+    From 1.5 times the length on, a whole window of the longer text scores 90 and nothing else
+    does; beyond 8 times, 60 is the most.  A letter within a page of text is no match.
 
     A common subsequence takes ``score / (200 - score)`` of the option's letters at least, however the
     words of both are sorted or dropped, unless a whole word of the option is shared.
@@ -88,21 +94,11 @@ def _option(option: str, score: float) -> Column:
     words_ = sorted(set(text.split()))
     forms = (text, " ".join(sorted(text.split())), " ".join(words_))
     needed = min(len(f) * score / (200.0 - score) - sum(c.isspace() for c in f) for f in forms)
-    parts = F.array(*[F.lit(w) for w in words_]) if len(words_) > 1 else F.array().cast("array<string>")
-    return F.struct(F.lit(text).alias("text"), F.lit("".join(sorted(set("".join(words_))))).alias("letters"), F.lit(needed).alias("needed"), parts.alias("words"))
-
-
-def _may_reach(a: Column, option: Column, score: float) -> Column:
-    """Whether the lengths and letters of a text and an ``_option``, or one within the other, let their WRatio reach ``score``.
-
-    From 1.5 times the length on, a whole window of the longer text scores 90 and nothing else
-    does; beyond 8 times, 60 is the most.  A letter within a page of text is no match.
-    """
-    b = option["text"]
+    b = F.lit(text)
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     within = (F.contains(a, b) | F.contains(b, a)) if score == 90.0 else F.lit(score < 90.0)
-    met = F.length(a) - F.length(F.call_function("translate", a, option["letters"], F.lit("")))
-    alike = (met >= option["needed"] - 1e-9) | F.exists(option["words"], lambda w: F.contains(a, w))
+    met = F.length(a) - F.length(F.translate(a, "".join(sorted(set("".join(words_)))), ""))
+    alike = reduce(or_, [met >= needed - 1e-9, *[F.contains(a, F.lit(w)) for w in words_ if len(words_) > 1]])
     return (longer < 1.5 * shorter) & alike | (longer <= 8 * shorter) & within | F.lit(score <= 60.0)
 
 
@@ -110,20 +106,23 @@ def recognised_shares(values: DataFrame, profiles: DataFrame, spec: SchemaSpec,
     """(file, column, field, recognised): share of a column's filled rows that already are words of an enum field.
 
     ``values``: the value frequencies.  Every distinct value counts with its rows.  Number and id
-    columns are left out of fields without numbered words, which they cannot feed; of the rest
-    only values that can reach the threshold are scored.
+    columns are left out of fields without numbered words, which they cannot feed, before their
+    values are looked at; of the rest only values that can reach the threshold are scored.
     """
     enums = [f for f in spec.fields if f.type == "enum" and f.enum]
     if not enums:
         return profiles.select("file", "column", F.lit("").alias("field"), F.lit(0.0).alias("recognised")).limit(0)
-    listed = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(any(o.strip().isdigit() for o in f.enum)).alias("numbered"),
-                                F.array(*[_option(o, policy.enum_auto_min) for o in f.enum]).alias("options"), F.array(*[F.lit(a) for a, _ in f.aliases]).cast("array<string>").alias("others")) for f in enums])
-    value = strip(F.lower("value"))
-    cells = (values.where((F.col("value") != "") & ~is_null_word(F.col("value"))).join(F.broadcast(profiles.select("file", "column", "inferred_type", "non_null")), ["file", "column"])
-             .select("file", "column", "non_null", "inferred_type", value.alias("value"), "n", F.inline(listed))
-             .where(F.col("numbered") | ~F.col("inferred_type").isin("number", "id")))
-    near = F.exists("options", lambda o: _may_reach(F.col("value"), o, policy.enum_auto_min))
-    likely = cut(cells.where(near | F.array_contains("others", F.col("value"))).groupBy("file", "column", "non_null", "field", "value").agg(F.sum("n").alias("n")))    # read three times
+    score = policy.enum_auto_min
+    longest = {f.name: max([8 * len(o) for o in f.enum] + [len(a) for a, _ in f.aliases]) if score > 60.0 else MAX_LENGTH for f in enums}
+    listed = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(any(o.strip().isdigit() for o in f.enum)).alias("numbered"), F.lit(longest[f.name]).alias("longest")) for f in enums])
+    asked = (profiles.select("file", "column", "inferred_type", "non_null", F.inline(listed))
+             .where(F.col("numbered") | ~F.col("inferred_type").isin("number", "id")).drop("inferred_type", "numbered"))
+    # lower case has no fewer characters, so a page of text is told by its length before it is lowered
+    short = (values.where((F.col("value") != "") & ~is_null_word(F.col("value"))).join(F.broadcast(asked), ["file", "column"])
+             .where(F.length(strip_stored(F.col("value"))) <= F.col("longest")))
+    cells = evaluated(short, {"value": strip(F.lower("value"))})
+    near = reduce(or_, [(F.col("field") == f.name) & reduce(or_, [_may_reach(F.col("value"), o, score) for o in f.enum] + [F.col("value").isin([a for a, _ in f.aliases])]) for f in enums])
+    likely = cut(cells.where(near).groupBy("file", "column", "non_null", "field", "value").agg(F.sum("n").alias("n")))    # read three times
     words_ = canonicalise(likely.select("field", "value").distinct(), spec, policy).where("canonical IS NOT NULL").select("field", "value")
     return (likely.join(words_, ["field", "value"]).groupBy("file", "column", "field")
             .agg((F.sum("n") / F.first("non_null")).alias("recognised")))

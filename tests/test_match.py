@@ -185,3 +185,14 @@ def test_few_bytes_of_words_are_scored_in_many_tasks(spark, monkeypatch):
     values = spark.createDataFrame([("department", f"enginering {i}") for i in range(400)], "field string, value string")
     used = {r["score"] for r in vocabulary.canonicalise(values, EMPLOYEE).where("score < 100").collect()}
     assert len(used) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_numbers_and_pages_are_not_lowered(spark, monkeypatch):
+    """Values of columns that feed no vocabulary, and values far longer than any option, are left out before any work on their text."""
+    seen, once = [], M.evaluated
+    monkeypatch.setattr(M, "evaluated", lambda df, columns: (seen.extend(r.asDict() for r in df.collect()), once(df, columns))[1])
+    rows = [("f", "size", "number", [str(i) for i in range(50)]), ("f", "page", "string", ["Sales " * 500, "Sales"]), ("f", "team", "string", ["Engineering", "Enginering", "Legal"])]
+    p = cut(profiles(spark, rows))
+    share = {(r["column"], r["field"]): r["recognised"] for r in M.recognised_shares(frequencies(spark, rows), p, EMPLOYEE, DEFAULT_POLICY).collect()}
+    assert {(r["column"], r["value"]) for r in seen} == {("page", "Sales"), ("team", "Engineering"), ("team", "Enginering"), ("team", "Legal")}
+    assert share["team", "department"] >= 2 / 3 and share["page", "department"] == 0.5 and not any(c == "size" for c, _ in share)
