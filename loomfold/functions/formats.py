@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from loomfold.functions.text import strip, text_of, words
+from loomfold.functions.text import few_words, strip, text_of
 
 # Value shapes.  (?U) gives \d and \s their Unicode meaning.
 FORMATS = {
@@ -47,6 +47,38 @@ TYPE_SHARES = (("email", 0.7), ("date", 0.7), ("phone", 0.7), ("id", 0.7), ("num
 PII_SHARE = 0.8
 
 
+# What a text needs for a shape, cheap to see: least and most characters, and a character it holds.
+# Upper case may add characters (a ligature becomes three), and ``$`` lets a line break of two follow.
+_NEEDS = {
+    PII_PATTERNS["pan"]: (7, 12, ""), FORMATS["ifsc"]: (5, 13, ""), PII_PATTERNS["uan"]: (12, 14, ""), PII_PATTERNS["aadhaar"]: (12, 16, ""),
+    PII_PATTERNS["bank_account"]: (9, 20, ""), FORMATS["phone"]: (9, 22, ""), TYPE_PATTERNS["phone"]: (9, 23, ""), FORMATS["email"]: (0, 0, "@"),
+}
+#: Shapes that start with a letter, so never with a decimal digit.
+_LETTER_FIRST = (PII_PATTERNS["pan"], FORMATS["ifsc"], TYPE_PATTERNS["id"])
+
+
+def has_shape(value: Column, pattern: str, upper: bool = False) -> Column:
+    """Whether a text (in upper case if ``upper``) has a shape: most texts are told by length or first character."""
+    out = (F.upper(value) if upper else value).rlike(pattern)
+    least, most, held = _NEEDS.get(pattern, (0, 0, ""))
+    if held:
+        out = F.contains(value, F.lit(held)) & out
+    if pattern in _LETTER_FIRST:
+        out = ~((value >= "0") & (value < ":")) & out
+    return F.length(value).between(least, most) & out if most else out
+
+
+def type_shapes(value: Column) -> dict[str, Column]:
+    """Whether a text has the shape of each inferred type.  A number is no date, so only other texts are read as one."""
+    out = {name: has_shape(value, p) for name, p in TYPE_PATTERNS.items()}
+    return out | {"date": (F.length(value) >= 5) & ~out["number"] & out["date"]}
+
+
+def many_digits(value: Column, least: int = 10) -> Column:
+    """Whether a text holds ``least`` digits; reads no further than it must."""
+    return (F.length(value) >= least) & value.rlike(rf"(?U)(?:\d\D*+){{{least}}}")
+
+
 def check_format(fmt: str | None, c: Column) -> Column:
     """True where the value fits the format; an unknown format fits everything."""
     if fmt not in FORMATS:
@@ -78,8 +110,8 @@ def shape_shares(value: Column, weight: Column, total: Column) -> Column:
     """
     shares = []
     for name, pattern in SHAPES.items():
-        shares += [F.lit(name), F.try_divide(F.sum(F.when(F.upper(value).rlike(pattern), weight).otherwise(0)), total)]
-    two_to_four = F.size(words(value)).between(2, 4)
+        shares += [F.lit(name), F.try_divide(F.sum(F.when(has_shape(value, pattern, upper=True), weight).otherwise(0)), total)]
+    two_to_four = few_words(value, 2, 4)
     return F.create_map(*shares, F.lit("full_name"), F.try_divide(F.sum(F.when(two_to_four, weight).otherwise(0)), total))
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomfold.functions.formats import TYPE_PATTERNS, TYPE_SHARES, pii_kind, shape_shares
-from loomfold.functions.text import col, is_null_word, redact_samples, strip
+from loomfold.functions.formats import TYPE_PATTERNS, TYPE_SHARES, many_digits, pii_kind, shape_shares, type_shapes
+from loomfold.functions.text import col, is_null_word, redact_samples, strip_stored
 from loomfold.lineage import keep
-from loomfold.sources.tables import source_columns
+from loomfold.sources.tables import BARE, source_columns
 
 #: Values shown to a person; nothing is decided on them.
 SHOWN_SAMPLES = 5
@@ -27,23 +27,30 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def melt(sources: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None) -> DataFrame:
     """(file, column, column_pos, value, pos): one row per cell, values trimmed."""
-    parts = []
+    cells, places = _cells(sources, columns)
+    return cells.select(F.inline(F.array(places)), "value", "pos")
+
+
+def _cells(sources: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None) -> tuple[DataFrame, Column]:
+    """(at, value, pos): one row per cell, and what the short text ``at`` stands for: file, column, column_pos."""
+    parts, places = [], []
     for file, df in sources.items():
         wanted = source_columns(df) if columns is None else columns.get(file, [])
         if not wanted:
             continue
         index = {name: i for i, name in enumerate(source_columns(df))}
-        long = df.unpivot([F.col("_pos").alias("pos")], [col(c) for c in wanted], "column", "value")
-        place = F.create_map(*[F.lit(x) for name in wanted for x in (name, index[name])])
-        parts.append(long.select(F.lit(file).alias("file"), "column", place[F.col("column")].alias("column_pos"),
-                                 strip(F.col("value")).alias("value"), "pos"))
-    return union_all(parts)
+        trimmed = [col(c) if df.schema[c].metadata.get(BARE) else strip_stored(col(c)) for c in wanted]
+        long = df.unpivot([F.col("_pos").alias("pos")], [c.alias(str(len(places) + i)) for i, c in enumerate(trimmed)], "at", "value")
+        places += [F.struct(F.lit(file).alias("file"), F.lit(name).alias("column"), F.lit(index[name]).alias("column_pos")) for name in wanted]
+        parts.append(long.select("at", "value", "pos"))
+    return union_all(parts), F.element_at(F.array(*places), F.col("at").cast("int") + 1)
 
 
 def value_frequency(sources: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None) -> DataFrame:
     """A0: each distinct value of each column, how often and where first."""
-    return (melt(sources, columns).groupBy("file", "column", "column_pos", "value")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos")))
+    cells, place = _cells(sources, columns)
+    counted = cells.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos"))
+    return counted.select(*[place[c].alias(c) for c in ("file", "column", "column_pos")], "value", "n", "min_pos")
 
 
 def first_distinct(vf: DataFrame, k: int = SHOWN_SAMPLES) -> DataFrame:
@@ -61,13 +68,12 @@ def first_distinct(vf: DataFrame, k: int = SHOWN_SAMPLES) -> DataFrame:
 def _stats(vf: DataFrame) -> DataFrame:
     value, n = F.col("value"), F.col("n")
     real = (value != "") & ~is_null_word(value)
-    shares = [F.sum(F.when(real & value.rlike(p), n).otherwise(0)).alias(f"_{name}") for name, p in TYPE_PATTERNS.items()]
-    digits = F.length(F.regexp_replace(value, r"(?U)\D", ""))
+    shares = [F.sum(F.when(real & shape, n).otherwise(0)).alias(f"_{name}") for name, shape in type_shapes(value).items()]
     return vf.groupBy("file", "column", "column_pos").agg(
         F.sum(n).alias("row_count"),
         F.sum(F.when(real, n).otherwise(0)).alias("non_null"),
         F.count(F.when(real, F.lit(1))).alias("cardinality"),
-        F.coalesce(F.max(F.when(real, digits >= 10)), F.lit(False)).alias("_long"),
+        F.coalesce(F.max(F.when(real, many_digits(value))), F.lit(False)).alias("_long"),
         shape_shares(value, F.when(real, n).otherwise(0), F.sum(F.when(real, n).otherwise(0))).alias("shares"),
         *shares)
 

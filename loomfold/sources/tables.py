@@ -12,11 +12,13 @@ import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from loomfold.functions.text import col, text_of
 from loomfold.lineage import broadcast_if_small
 
 META = ("_file", "_pos", "_source")
+BARE = "bare"
 _SUFFIXES = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
 MAX_BROADCAST_SPLITS = 1_000_000
 
@@ -71,7 +73,11 @@ def _number_rows(raw: DataFrame, fmt: str) -> DataFrame:
 
 
 def as_text(df: DataFrame, file: str) -> DataFrame:
-    """Cast every column to text (missing = '') and trim the headers."""
+    """Cast every column to text (missing = '') and trim the headers.
+
+    Columns that were numbers or dates are marked as ``BARE``: no value of theirs has blanks around it.
+    """
+    bare = {f.name for f in df.schema.fields if isinstance(f.dataType, (NumericType, DateType, TimestampType, TimestampNTZType, BooleanType))}
     seen: dict[str, str] = {}
     out = []
     for name in source_columns(df):
@@ -79,7 +85,7 @@ def as_text(df: DataFrame, file: str) -> DataFrame:
         if header.lower() in seen:
             raise ValueError(f"{file}: headers {seen[header.lower()]!r} and {header!r} differ only by case or spaces")
         seen[header.lower()] = header
-        out.append(text_of(col(name)).alias(header))
+        out.append(text_of(col(name)).alias(header, metadata={BARE: name in bare}))
     return df.select(*out, F.lit(file).alias("_file"), F.col("_pos"),
                      F.concat(F.lit(f"{file}#"), (F.col("_pos") + 2).cast("string")).alias("_source"))
 

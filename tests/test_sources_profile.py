@@ -1,8 +1,13 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from loomfold.functions import formats as FM
+from loomfold.functions.text import few_words, strip, strip_stored, words
 from loomfold.operators import dates as OD, profile as OP
-from loomfold.sources.tables import as_text, load_source, load_sources
+from loomfold.sources.tables import BARE, as_text, from_table, load_source, load_sources
 
 
 def _source(spark, file, rows, columns):
@@ -79,3 +84,31 @@ def test_date_columns(spark, values, convention, anchors, outcome):
     assert (row["convention"], row["anchors"], row["outcome"]) == (convention, anchors, outcome)
     assert row["total"] == sum(1 for v in values if v.strip())
     assert OD.decide_conventions(OD.column_votes(vf), answers={"date:f:d": "MDY"}).collect()[0]["applied"] == "MDY"
+
+
+def test_only_texts_are_trimmed(spark):
+    """Numbers and dates are marked where they become text; the values of every column are counted as before."""
+    rows = [(0, " a ", 1.5, -0.0), (1, "a", 1.5, 0.0), (2, " ", None, 2.0), (3, "é ", 3.0, float("nan")), (4, None, 3.0, 2.0)]
+    df = from_table(spark.createDataFrame(rows, "id long, t string, x double, y double"), "f", "id")
+    assert [df.schema[c].metadata[BARE] for c in ("id", "t", "x", "y")] == [True, False, True, True]
+    text = lambda v: "" if v is None else "NaN" if v != v else str(v).strip()
+    want = Counter((k, c, text(r[k])) for r in rows for k, c in enumerate(["id", "t", "x", "y"]))
+    got = {(r["column_pos"], r["column"], r["value"]): r["n"] for r in OP.value_frequency({"f": df}).collect()}
+    assert got == want
+
+
+def test_shapes_are_told_early_and_the_same(spark):
+    """Lengths and first characters spare a pattern only where it cannot fit."""
+    rng = random.Random(3)
+    parts = ["a", "Z", "ß", "ﬃ", "ABCDE", "1", "٣", "12345", "9876543210", "-", "/", ".", "@", "x.co", " ", " ", "\n", " ", "(", "+", "ſ", "𝟙"]
+    made = {"".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(4000)} | {"ABCDE1234F", "aßbc1234f", "ﬃab1234f", "ABCD0123456", "ﬃﬃ0ab1234", "1-2-3", "12.50", "1.2.3", "12345678901\n"}
+    v = F.col("v")
+    df = spark.createDataFrame([(x,) for x in sorted(made)], "v string")
+    pairs = {f"shape {n}": (FM.has_shape(v, p, upper=True), F.upper(v).rlike(p)) for n, p in FM.SHAPES.items()}
+    pairs |= {f"type {n}": (FM.type_shapes(v)[n], v.rlike(p)) for n, p in FM.TYPE_PATTERNS.items()}
+    pairs |= {"words": (few_words(v, 2, 4), F.size(words(v)).between(2, 4)), "digits": (FM.many_digits(v), F.length(F.regexp_replace(v, r"(?U)\D", "")) >= 10),
+              "strip": (strip_stored(v), strip(v))}
+    new, old = df.select("v", *[a.alias(n) for n, (a, _) in pairs.items()]).collect(), df.select("v", *[b.alias(n) for n, (_, b) in pairs.items()]).collect()
+    for n in pairs:
+        assert [(r["v"], r[n]) for r in new] == [(r["v"], r[n]) for r in old], n
+        assert len({r[n] for r in new}) > 1, n
