@@ -56,11 +56,16 @@ def value_frequency(sources: Mapping[str, DataFrame], columns: Mapping[str, list
 def first_distinct(vf: DataFrame, k: int = SHOWN_SAMPLES) -> DataFrame:
     """The first ``k`` distinct non-blank values of every column, in file order.
 
-    The rank filter is pushed below the shuffle (each task sends at most ``k``
-    rows per column), so a column of billions of distinct values costs ``k``.
+    Values are counted by the power of two of their position first, 64 counts a column at most, and
+    only those up to the power that holds ``k`` are ranked: no column is sorted.  The rank filter is
+    pushed below the shuffle (each task sends at most ``k`` rows per column).
     """
-    rank = F.row_number().over(Window.partitionBy("file", "column").orderBy("min_pos"))
-    top = vf.where((F.col("value") != "") & ~is_null_word(F.col("value"))).withColumn("_r", rank).where(F.col("_r") <= k)
+    column, power = Window.partitionBy("file", "column"), F.floor(F.log2(F.greatest(F.coalesce("min_pos", F.lit(0)), F.lit(0)) + 1.0))
+    real = vf.where((F.col("value") != "") & ~is_null_word(F.col("value"))).select("file", "column", "value", "min_pos", power.alias("_p"))
+    before = F.coalesce(F.sum("n").over(column.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = real.groupBy("file", "column", "_p").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", before).where(F.col("_before") < k)
+    rank = F.row_number().over(column.orderBy("min_pos"))
+    top = real.join(F.broadcast(first.select("file", "column", "_p")), ["file", "column", "_p"]).withColumn("_r", rank).where(F.col("_r") <= k)
     ordered = F.array_sort(F.collect_list(F.struct("min_pos", "value")))
     return top.groupBy("file", "column").agg(F.transform(ordered, lambda s: s["value"]).alias("raw_samples"))
 

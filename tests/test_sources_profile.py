@@ -112,3 +112,15 @@ def test_shapes_are_told_early_and_the_same(spark):
     for n in pairs:
         assert [(r["v"], r[n]) for r in new] == [(r["v"], r[n]) for r in old], n
         assert len({r[n] for r in new}) > 1, n
+
+
+def test_samples_come_without_a_sort_of_the_column(spark):
+    """The first distinct values in file order, wherever they stand; only those of the first powers of two are ranked."""
+    at = {"late": range(1000, 1400), "early": range(5), "spread": [0, 7, 900, 901, 5000, 5001, 9000], "blank": [], "odd": [-3, None, 0, 1, 2, 3]}
+    rows = [("f", c, i, f"{c}{i}", 1, p) for c, positions in at.items() for i, p in enumerate(positions)] + [("f", "blank", 9, "", 3, 0), ("f", "spread", 9, "null", 1, 1)]
+    vf = spark.createDataFrame(rows, "file string, column string, column_pos int, value string, n long, min_pos long")
+    found = OP.first_distinct(vf)
+    got = {r["column"]: r["raw_samples"] for r in found.collect()}
+    assert got == {"late": [f"late{i}" for i in range(5)], "early": [f"early{i}" for i in range(5)], "spread": [f"spread{i}" for i in range(5)], "odd": ["odd1", "odd0", "odd2", "odd3", "odd4"]}
+    ranked = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+    assert ranked
